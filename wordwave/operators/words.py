@@ -23,6 +23,9 @@ from ..sources.series import DAY
 #: Interior break points of a standard normal for 4 and 6 bins (fixed values).
 NORMAL_BREAKS = {4: (-0.67, 0.0, 0.67), 6: (-0.967, -0.43, 0.0, 0.43, 0.967)}
 
+#: Quantities whose sums depend on their order: rounded to nine digits, as their break points are, before they are digitized.
+TIED = ("mean", "trend", "std", "var")
+
 
 @dataclass(frozen=True)
 class Param:
@@ -144,20 +147,26 @@ def _up_to(ts: Column, bound: Column) -> Column:
     return F.size(F.filter(ts, lambda t: t <= bound))
 
 
-def backward_segments(ts: Column, end: Column, micros: int, wl: int) -> Column:
-    """array<struct<b, e>>: sub-windows of a backward window, latest first; (-1, -1) where empty."""
+def backward_bounds(ts: Column, end: Column, micros: int, wl: int) -> Column:
+    """array<struct<g, h>>: for every sub-window, latest first, the points before its begin and up to its end."""
     sub = float(micros) / wl
-    last = F.size(ts) - 1
-    previous, out = last, []
+    return F.array(*(F.struct(_below(ts, end.cast("double") - (k + 1) * sub).alias("g"), _up_to(ts, end.cast("double") - k * sub).alias("h")) for k in range(wl)))
+
+
+def backward_segments(ts: Column, end: Column, micros: int, wl: int, bounds: Column) -> Column:
+    """array<struct<b, e>>: sub-windows of a backward window, latest first; (-1, -1) where empty.
+
+    ``bounds`` is the column of :func:`backward_bounds`, computed in a
+    projection of its own, so that each count is made once.
+    """
+    sub, last, out = float(micros) / wl, F.size(ts) - 1, []
+    begins = [F.greatest(bounds[k]["g"], F.lit(1)) for k in range(wl)]
     for k in range(wl):
         a, b = end.cast("double") - (k + 1) * sub, end.cast("double") - k * sub
-        g, h = _below(ts, a), _up_to(ts, b) - 1
-        begin = F.greatest(g, F.lit(1))
-        stop = F.greatest(F.lit(1), F.least(h, previous))
-        first, edge = F.get(ts, begin), F.get(ts, stop)
+        stop = F.greatest(F.lit(1), F.least(bounds[k]["h"] - 1, begins[k - 1] if k else last))
+        first, edge = F.get(ts, begins[k]), F.get(ts, stop)
         valid = F.coalesce((b > first) & (first >= a) & (b >= edge) & (edge > a), F.lit(False))
-        out.append(F.when(valid, F.struct(begin.alias("b"), stop.alias("e"))).otherwise(F.struct(F.lit(-1).alias("b"), F.lit(-1).alias("e"))))
-        previous = begin
+        out.append(F.when(valid, F.struct(begins[k].alias("b"), stop.alias("e"))).otherwise(F.struct(F.lit(-1).alias("b"), F.lit(-1).alias("e"))))
     return F.array(*out)
 
 
@@ -181,27 +190,44 @@ def _moment(x: Column, f) -> Column:
 
 
 def _trend(ts: Column, vs: Column) -> Column:
-    """Angle of the least-squares slope per day; a right angle where time does not vary."""
-    n = F.size(vs).cast("double")
-    base = F.get(ts, F.lit(0))
-    days = F.transform(ts, lambda t: (t - base).cast("double") / float(DAY))
-    mt, mv = _moment(days, lambda v: v) / n, _moment(vs, lambda v: v) / n
-    cov = _moment(F.zip_with(days, vs, lambda t, v: (t - mt) * (v - mv)), lambda v: v)
-    var = _moment(days, lambda t: (t - mt) * (t - mt))
-    return F.when(var > 0, F.atan(cov / var)).otherwise(F.lit(math.pi / 2))
+    """Angle of the least-squares slope per day; a right angle where time does not vary.
+
+    One fold over the points sums deviations from the first point.
+    """
+    t0, v0, n = F.get(ts, F.lit(0)), F.get(vs, F.lit(0)), F.size(vs).cast("double")
+    pairs = F.arrays_zip(ts.alias("t"), vs.alias("v"))
+    zero = F.struct(*(F.lit(0.0).alias(c) for c in ("t", "v", "tt", "tv")))
+
+    def add(acc, x):
+        t, v = (x["t"] - t0).cast("double") / float(DAY), x["v"] - v0
+        return F.struct((acc["t"] + t).alias("t"), (acc["v"] + v).alias("v"), (acc["tt"] + t * t).alias("tt"), (acc["tv"] + t * v).alias("tv"))
+
+    def finish(acc):
+        spread = n * acc["tt"] - acc["t"] * acc["t"]
+        return F.when(F.element_at(ts, -1) > t0, F.atan((n * acc["tv"] - acc["t"] * acc["v"]) / spread)).otherwise(F.lit(math.pi / 2))
+
+    return F.aggregate(pairs, zero, add, finish)
 
 
 def _variance(vs: Column) -> Column:
-    n = F.size(vs).cast("double")
-    mean = _moment(vs, lambda v: v) / n
-    return _moment(vs, lambda v: (v - mean) * (v - mean)) / n
+    """Population variance by one fold over deviations from the first value."""
+    v0, n = F.get(vs, F.lit(0)), F.size(vs).cast("double")
+    zero = F.struct(F.lit(0.0).alias("v"), F.lit(0.0).alias("vv"))
+    add = lambda acc, x: F.struct((acc["v"] + (x - v0)).alias("v"), (acc["vv"] + (x - v0) * (x - v0)).alias("vv"))
+    return F.aggregate(vs, zero, add, lambda acc: F.greatest(acc["vv"] / n - (acc["v"] / n) * (acc["v"] / n), F.lit(0.0)))
 
 
 def _mean(vs: Column, whole: Column, sigma: str) -> Column:
     n = F.size(whole).cast("double")
-    mu, square = _moment(whole, lambda v: v) / n, _moment(whole, lambda v: v * v) / n
-    spread = F.sqrt(F.abs(square * square - mu * mu)) if sigma == "coded" else F.sqrt(F.abs(square - mu * mu))
-    return F.when(spread > 0, (_moment(vs, lambda v: v) / F.size(vs) - mu) / spread).otherwise(F.lit(0.0))
+    zero = F.struct(F.lit(0.0).alias("v"), F.lit(0.0).alias("vv"))
+    add = lambda acc, x: F.struct((acc["v"] + x).alias("v"), (acc["vv"] + x * x).alias("vv"))
+
+    def finish(acc):
+        mu, square = acc["v"] / n, acc["vv"] / n
+        spread = F.sqrt(F.abs(square * square - mu * mu)) if sigma == "coded" else F.sqrt(F.abs(square - mu * mu))
+        return F.when(spread > 0, (_moment(vs, lambda v: v) / F.size(vs) - mu) / spread).otherwise(F.lit(0.0))
+
+    return F.aggregate(whole, zero, add, finish)
 
 
 def quantity(name: str, ts: Column, vs: Column, whole: Column, sigma: str = "coded") -> Column:
@@ -240,6 +266,11 @@ def digitize(x: Column, points: list[Column]) -> Column:
     return F.size(F.filter(F.array(*points), lambda b: b <= x)) if points else F.lit(0)
 
 
+def _digit(x: Column, points: list[Column]) -> Column:
+    """:func:`digitize` with ``x`` computed once."""
+    return F.get(F.transform(F.array(x), lambda v: digitize(v, points)), F.lit(0))
+
+
 def words(series: DataFrame, params: Sequence[Param], segmentation: str = "effective", sigma: str = "coded", num_reduction: bool = True) -> DataFrame:
     """(object_id, band, band_idx, param_id, dir, pos, word): the counted words of every series.
 
@@ -257,7 +288,8 @@ def words(series: DataFrame, params: Sequence[Param], segmentation: str = "effec
         if wl == 1:
             part = part.withColumn("seg", F.array(F.struct(F.lit(0).alias("b"), F.size("ts").alias("e"))))
         else:
-            back = backward_segments(F.col("ts"), F.col("w_end"), micros, wl)
+            part = part.withColumn("bounds", backward_bounds(F.col("ts"), F.col("w_end"), micros, wl))
+            back = backward_segments(F.col("ts"), F.col("w_end"), micros, wl, F.col("bounds"))
             if segmentation == "two_way":
                 part = part.withColumn("seg", F.when(F.col("dir") == 1, back).otherwise(single_segments(F.col("ts"), F.get("ts", F.lit(0)), micros, wl)))
             else:
@@ -287,7 +319,10 @@ def _character(s: Column, p: Param, sigma: str) -> Column:
     char = F.lit(0)
     for name, bins in zip(p.quantities, p.bins, strict=True):
         x = quantity(name, s["ts"], s["vs"], F.col("vs"), sigma)
-        char = char * bins + digitize(x, breaks(name, bins, F.col("low"), F.col("high"), F.col("len"), p.word_length))
+        points = breaks(name, bins, F.col("low"), F.col("high"), F.col("len"), p.word_length)
+        if name in TIED:
+            x, points = F.round(x, 9), [F.round(b, 9) for b in points]
+        char = char * bins + _digit(x, points)
     return char
 
 

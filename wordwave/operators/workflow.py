@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -74,10 +76,6 @@ def detection_filter(observations: DataFrame, least: int = 2, seed: int = 1) ->
     (erf((|flux| / error - 5.5) / 2) + 1) / 2.  Spark has no erf, so a vectorised
     function computes it.
     """
-    import math
-
-    import pandas as pd
-
     @F.pandas_udf("double")
     def efficiency(ratio: pd.Series) -> pd.Series:
         return ratio.map(lambda x: (math.erf((x - 5.5) / 2) + 1) / 2)

@@ -299,7 +299,8 @@ def _segments_sql(series: str, width: int, wl: int) -> str:
 @query(_segments_sql(LI, _WL, 3).replace("{wl}", "3"))
 def segment_backward_wl3(spark, d):
     rows = words.windows(_li(spark, d), [Param(LONG, 3, ("min",))]).where("dir = 1")
-    found = rows.select("object_id", "band", "i", "j", F.posexplode(words.backward_segments(F.col("ts"), F.col("w_end"), _WL, 3)).alias("k", "s"))
+    rows = rows.withColumn("bounds", words.backward_bounds(F.col("ts"), F.col("w_end"), _WL, 3))
+    found = rows.select("object_id", "band", "i", "j", F.posexplode(words.backward_segments(F.col("ts"), F.col("w_end"), _WL, 3, F.col("bounds"))).alias("k", "s"))
     return found.select("object_id", "band", "i", "j", "k", F.col("s.b").cast("long").alias("b"), F.col("s.e").cast("long").alias("e"))
 
 
@@ -701,7 +702,7 @@ def search_complexity(spark, d):
 # ---------------------------------------------------------------- time aggregation, warping
 
 
-@query(f"""WITH s AS ({EV}), x AS (SELECT *, tus - min(tus) OVER ({sql.OWN}) AS rel FROM s), b AS (SELECT object_id, band, rel // {3 * DAY} AS bucket, count(*) AS n, avg(value) AS mean, coalesce(regr_slope(value, rel / 86400000000.0), 0) AS slope FROM x GROUP BY 1, 2, 3),
+@query(f"""WITH s AS ({EV}), x AS (SELECT *, tus - min(tus) OVER ({sql.OWN}) AS rel FROM s), b AS (SELECT object_id, band, rel // {3 * DAY} AS bucket, count(*) AS n, avg(value) AS mean, CASE WHEN max(rel) > min(rel) THEN regr_slope(value, rel / 86400000000.0) ELSE 0 END AS slope FROM x GROUP BY 1, 2, 3),
 l AS (SELECT object_id, band, max(rel) AS last FROM x GROUP BY 1, 2), e AS (SELECT object_id, band, unnest(range(0, ((last - 1) // {3 * DAY} + 1)::BIGINT)) AS bucket FROM l WHERE last > 0)
 SELECT e.object_id, e.band, e.bucket, coalesce(n, 0) AS n, {r('mean')} AS mean, {r('slope')} AS slope FROM e LEFT JOIN b USING (object_id, band, bucket)""")
 def tumbling_time_agg(spark, d):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from ..operators.words import NORMAL_BREAKS, Param
+from ..operators.words import NORMAL_BREAKS, TIED, Param
 from ..sources.series import EVENT_BANDS, LINE_BANDS
 
 _list = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]"
@@ -46,6 +46,8 @@ def _digit(name: str, bins: int, x: str, length: str, wl: int) -> str:
             "count": ("0.0::DOUBLE", f"(2.0::DOUBLE * {length} / {wl})"),
         }[name]
         points = [f"({a} + ({b} - {a}) * {k} / {bins})" for k in range(1, bins)]
+    if name in TIED:
+        x, points = f"round({x}, 9)", [f"round({p}, 9)" for p in points]
     return "(" + " + ".join(f"({p} <= {x})::INT" for p in points) + ")"
 
 
@@ -53,7 +55,7 @@ VALUES = {
     "mean": "0.0",
     "min": "min(value)",
     "max": "max(value)",
-    "count": "count(*)::DOUBLE",
+    "count": "count(value)::DOUBLE",
     "trend": f"coalesce(atan(CASE WHEN var_pop(tus / 86400000000.0) > 0 THEN regr_slope(value, tus / 86400000000.0) END), {math.pi / 2!r})",
     "std": "stddev_pop(value)",
     "var": "var_pop(value)",
@@ -92,8 +94,8 @@ def words(series: str, params: list[Param]) -> str:
             )
             pieces = " UNION ALL ".join(f"SELECT object_id, band, band_idx, i, j, m, low, high, {k} AS k, i + {begin[k]} AS b, i + {stop[k]} AS e FROM g{r} WHERE {valid}" for k in range(wl))
             ctes.append(
-                f"""c{r} AS (SELECT x.object_id, x.band, x.band_idx, x.j, x.k, any_value(x.m) AS m, any_value(x.low) AS low, any_value(x.high) AS high, count(*) AS size, {columns}
-  FROM ({pieces}) x JOIN p ON p.object_id = x.object_id AND p.band = x.band AND p.i >= x.b AND p.i < x.e GROUP BY 1, 2, 3, 4, 5)"""
+                f"""c{r} AS (SELECT x.object_id, x.band, x.band_idx, x.j, x.k, any_value(x.m) AS m, any_value(x.low) AS low, any_value(x.high) AS high, count(p.i) AS size, {columns}
+  FROM ({pieces}) x LEFT JOIN p ON p.object_id = x.object_id AND p.band = x.band AND p.i >= x.b AND p.i < x.e GROUP BY 1, 2, 3, 4, 5)"""
             )
             source = f"c{r}"
         for k, p in mine:
