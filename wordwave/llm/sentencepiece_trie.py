@@ -14,6 +14,7 @@ candidate passes, and the pass gives the library's own result.
 from __future__ import annotations
 
 import re
+import zlib
 from itertools import chain
 
 import numpy as np
@@ -25,7 +26,7 @@ from .common import SLICE_BYTES, arrow_map, session_for
 
 MARK = "▁"
 #: Distinct words whose pieces a worker keeps between batches.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 _UNITS = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 
 
@@ -76,7 +77,6 @@ class Model:
         if normaliser.get(2) or not normaliser.get(3, 1) or normaliser.get(4, 1):
             raise ValueError("only models with identity normalisation, a dummy prefix and kept white space")
         self.vocabulary = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == 1}
-        self.longest = max(map(len, self.vocabulary))
         self.bytes_ = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == 6}
         self.unknown = self.kinds.index(2)
         # a piece is never cut inside by the units: marks stand in front only, and no piece holds a new line
@@ -84,6 +84,13 @@ class Model:
             raise ValueError("a piece crosses words")
         self.surface = [bytes([int(p[3:5], 16)]) if k == 6 else p.replace(MARK, " ").encode() if k == 1 else b" \xe2\x81\x87 " if k == 2 else b"" for p, k in zip(self.pieces, self.kinds, strict=True)]
         self._accepts: dict[tuple[int, int], bool] = {}
+        self._halves()
+        # lengths of the pieces that end in given (up to three) characters, longest first: where a last piece can begin
+        made = [p for p, i in self.vocabulary.items() if not self.bpe or len(p) == 1 or self.halves[i] is not None]
+        lengths: dict[str, set[int]] = {}
+        for p in made:
+            lengths.setdefault(p[-3:], set()).add(len(p))
+        self.ending = {k: tuple(sorted(v | {n for n in (1, 2) if n < len(k) and k[-n:] in lengths}, reverse=True)) for k, v in lengths.items()}
 
     def merge(self, text: str) -> list[int]:
         """Pieces by repeated merging of the best-scored neighbours (first among equals): the plain definition of BPE."""
@@ -99,60 +106,100 @@ class Model:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.vocabulary.get(p, ~ord(p)) if len(p) == 1 else self.vocabulary[p] for p in parts]
 
+    def _halves(self) -> None:
+        """The two pieces that each piece's last merge joins; None for characters and for pieces that merging never makes."""
+        self.halves: list[tuple[int, int] | None] = [None] * len(self.pieces)
+        if not self.bpe:
+            return
+        get = self.vocabulary.get
+        for piece, i in self.vocabulary.items():
+            parts = list(piece)
+            while len(parts) > 2:
+                joined = [(-self.scores[k], n) for n in range(len(parts) - 1) if (k := get(parts[n] + parts[n + 1])) is not None]
+                if not joined:
+                    break
+                n = min(joined)[1]
+                parts[n : n + 2] = [parts[n] + parts[n + 1]]
+            if len(parts) == 2 and parts[0] in self.vocabulary and parts[1] in self.vocabulary:
+                self.halves[i] = (get(parts[0]), get(parts[1]))
+
     def accepts(self, a: int, b: int) -> bool:
-        """Whether piece b may follow piece a (negative: a character without a piece)."""
+        """Whether piece b may follow piece a (negative: a character without a piece).
+
+        Merging is played backwards at the border: the later of the two
+        pieces' last merges is undone, and no piece across the border may have
+        been due before it (or, on the right, at the same rank: the leftmost is
+        due first).
+        """
         if a < 0 or b < 0:
             return True
         known = self._accepts.get((a, b))
         if known is None:
             if len(self._accepts) > 2_000_000:
                 self._accepts.clear()
-            known = self._accepts[a, b] = self.merge(self.pieces[a] + self.pieces[b]) == [a, b]
+            known = self._accepts[a, b] = self._borders(a, b)
         return known
 
+    def _borders(self, a: int, b: int) -> bool:
+        pieces, scores, halves, get = self.pieces, self.scores, self.halves, self.vocabulary.get
+        due, equal = -np.inf, False  # a crossing piece is due before a merge of score ``due``
+        while True:
+            across = get(pieces[a] + pieces[b])
+            if across is not None and (scores[across] > due or equal and scores[across] == due):
+                return False
+            left, right = halves[a], halves[b]
+            if left is not None and (right is None or scores[a] < scores[b]):
+                due, equal, a = scores[a], False, left[1]
+            elif right is not None:
+                due, equal, b = scores[b], True, right[0]
+            else:
+                return True
+
     def out(self, ids) -> tuple[int, ...]:
         """Byte pieces in place of characters without a piece."""
-        if min(ids, default=0) >= 0:
+        if not ids or min(ids) >= 0:
             return tuple(ids)
         return tuple(chain.from_iterable([i] if i >= 0 else [self.bytes_.get(b, self.unknown) for b in chr(~i).encode()] for i in ids))
 
     def encode_words(self, words) -> dict[str, tuple[int, ...]]:
         """Pieces of distinct words, in one depth-first walk over the trie of the sorted words."""
-        found, get, longest, scores = {}, self.vocabulary.get, self.longest, self.scores
-        previous, last, begin, best = "", [None], [0], [0.0]
-        accepts, memo = self.accepts, self._accepts
+        found: dict[str, tuple[int, ...]] = {}
+        get, ending, scores, accepts, memo, bpe = self.vocabulary.get, self.ending.get, self.scores, self.accepts, self._accepts, self.bpe
+        unknown_score = min(scores) - 10.0
+        size = max(map(len, words), default=0) + 1
+        last, begin, best = [None] * size, [0] * size, [0.0] * size
+        previous = ""
         for word in sorted(words):
-            if self.bpe and word.startswith(MARK * 2):
+            if bpe and word[:2] == MARK * 2:
                 found[word] = self.out(self.merge(word))  # runs of marks tie in score; few words have them
                 continue
-            n = 0
-            for x, y in zip(word, previous):
-                if x != y:
-                    break
+            n, most = 0, min(len(word), len(previous))
+            while n < most and word[n] == previous[n]:
                 n += 1
-            del last[n + 1 :], begin[n + 1 :], best[n + 1 :]
             for i in range(n + 1, len(word) + 1):
-                pick = start = None
-                top = -np.inf
-                for j in range(max(0, i - longest), i):
+                pick, start, top = ~ord(word[i - 1]), i - 1, -np.inf
+                near = ending(word[i - 3 : i]) if i > 2 else None
+                for length in near or ending(word[i - 2 : i] if i > 1 else word[0]) or ending(word[i - 1]) or ():
+                    j = i - length
+                    if j < 0:
+                        continue
                     piece = get(word[j:i])
                     if piece is None:
                         continue
-                    if self.bpe:
+                    if bpe:
                         before = last[j]
-                        ok = before is None or before < 0
-                        if not ok:
-                            ok = memo.get((before, piece))
-                            if ok is None:
-                                ok = accepts(before, piece)
-                        if ok:
+                        if before is None or before < 0:
+                            pick, start = piece, j
+                            break
+                        ok = memo.get((before, piece))
+                        if ok or ok is None and accepts(before, piece):
                             pick, start = piece, j
                             break
                     elif best[j] + scores[piece] > top:
                         pick, start, top = piece, j, best[j] + scores[piece]
-                if pick is None:
-                    pick, start, top = ~ord(word[i - 1]), i - 1, best[i - 1] + min(scores) - 10.0 if not self.bpe else 0.0
-                last.append(pick), begin.append(start), best.append(top if not self.bpe else 0.0)
+                last[i], begin[i] = pick, start
+                if not bpe:
+                    best[i] = top if pick >= 0 else best[start] + unknown_score
             previous = word
             ids, i = [], len(word)
             while i > 0:
@@ -172,6 +219,18 @@ class Model:
         return text[1:] if text.startswith(" ") else text
 
 
+_states: dict[int, tuple[Model, dict]] = {}
+
+
+def _worker_state(model_bytes: bytes) -> tuple[Model, dict]:
+    """Model and word cache of this worker process, kept between tasks."""
+    key = zlib.crc32(model_bytes)
+    if key not in _states:
+        _states.clear()
+        _states[key] = (Model(model_bytes), {})
+    return _states[key]
+
+
 def encode_decode(docs: DataFrame, model_bytes: bytes, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_ok) and the columns ``keep`` of every whole text.
 
@@ -191,13 +250,10 @@ def encode_decode(docs: DataFrame, model_bytes: bytes, id_col: str = "doc_id", t
         raise ValueError(f"columns to keep clash with the result: {sorted(clash)}")
     names = ["doc_id"] + [c for c in kept if c not in ("doc_id", "__text")]
     rows = docs.select(*(F.col(id_col).cast("long").alias("doc_id") if c == "doc_id" else F.col(c) for c in names), F.col(text_col).cast("string").alias("__text"))
-    state: list = []
     n_names = len(names)
 
     def over(batch):
-        if not state:
-            state.extend([Model(sent.value), {}])
-        model, cache = state
+        model, cache = _worker_state(sent.value)
         texts = batch.column(n_names).to_pylist()
         at = 0
         while at < len(texts):
@@ -206,10 +262,12 @@ def encode_decode(docs: DataFrame, model_bytes: bytes, id_col: str = "doc_id", t
                 size += len(texts[to] or "")
                 to += 1
             cut = [model.units(t or "") for t in texts[at:to]]
-            new = set(chain.from_iterable(cut)).difference(cache)
-            if len(cache) + len(new) > CACHE_WORDS:
+            present = set(chain.from_iterable(cut))
+            new = present.difference(cache)
+            if len(cache) + len(new) > CACHE_WORDS:  # what this slice needs stays: frequent words are among it
+                kept_words = {w: cache[w] for w in present - new}
                 cache.clear()
-                new = set(chain.from_iterable(cut))
+                cache.update(kept_words)
             cache.update(model.encode_words(new))
             look, arrays, good = cache.__getitem__, [], []
             for text, words in zip(texts[at:to], cut, strict=True):
