@@ -12,6 +12,11 @@ from .common import read_table, session_for
 SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def _of_kind(spans: str, kind: int):
+    """Number of spans of a kind."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"), width=4, threshold=85)
 
@@ -20,7 +25,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     found = pii.personal_data(docs, pii.fit(docs))
     own = F.transform("added", lambda s: F.struct(s["start"], (s["kind"] + len(pii.KINDS)).alias("kind"), s["end"]))
-    counts = {f"n_{k}": F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long") for i, k in enumerate(pii.KINDS)}
+    counts = {f"n_{k}": _of_kind("base", i) for i, k in enumerate(pii.KINDS)}
     return found.select(
         "doc_id",
         *(c.alias(n) for n, c in counts.items()),
@@ -70,7 +75,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.secret_spans(read_table(spark, sf_dir, "documents"))
-    counts = (F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{secrets.KINDS[k]}") for k in range(3))
+    counts = (_of_kind("base", k).alias(f"n_{secrets.KINDS[k]}") for k in range(3))
     return found.select("doc_id", *counts, F.sha2(secrets.spans_text(F.col("base")), 256).alias("base_sha256"), secrets.spans_text(F.array_sort(F.concat("base", "linked"))).alias("spans"))
 
 
