@@ -80,11 +80,22 @@ def backward_windows(series: DataFrame, micros: int, tol: int) -> DataFrame:
     return rows.where(F.col("e") - F.col("b") > tol).select("object_id", "band", F.col("b").alias("i"), (F.col("e") + 1).alias("j"))
 
 
-def _points(series: DataFrame, widths: Sequence[int]) -> DataFrame:
-    """Per row, per window width: struct of forward and backward slices (arrays of (tus, value)), and the series' extremes."""
+#: Running sums that a point carries: of values, squares, times, squared times and products (shifted to the series' begin and lowest value).
+_SUMS = ("sv", "svv", "st", "stt", "stv")
+
+
+def _points(series: DataFrame, widths: Sequence[int], sums: bool = False) -> DataFrame:
+    """Per row, per window width: struct of forward and backward slices (arrays of points), and the series' extremes."""
     own = W.partitionBy("object_id", "band")
-    point = F.struct("tus", "value", "i")
-    rows = indexed(series).select("object_id", "band", "band_idx", "tus", "value", "i", "n", F.min("value").over(own).alias("low"), F.max("value").over(own).alias("high"), F.min(F.struct("i", point.alias("p"))).over(own).getField("p").alias("origin"))
+    rows = indexed(series)
+    if sums:
+        run = own.orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+        rows = rows.withColumn("v_", F.col("value") - F.min("value").over(own)).withColumn("t_", (F.col("tus") - F.min("tus").over(own)).cast("double") / float(DAY))
+        v, t = F.col("v_"), F.col("t_")
+        rows = rows.withColumns({n: F.sum(x).over(run) for n, x in zip(_SUMS, (v, v * v, t, t * t, t * v), strict=True)})
+    carried = ("v_", "t_", *_SUMS) if sums else ()
+    point = F.struct("tus", "value", "i", *carried)
+    rows = rows.select("object_id", "band", "band_idx", "tus", "value", "i", "n", *carried, F.min("value").over(own).alias("low"), F.max("value").over(own).alias("high"), F.min(F.struct("i", point.alias("p"))).over(own).getField("p").alias("origin"))
     columns = []
     for k, width in enumerate(widths):
         ahead, behind = own.orderBy("tus").rangeBetween(0, width), own.orderBy("tus").rangeBetween(-width, 0)
@@ -97,7 +108,7 @@ def _points(series: DataFrame, widths: Sequence[int]) -> DataFrame:
         mine = F.filter(F.col(f"behind{k}"), lambda p: p["i"] <= F.col("i"))
         backward = F.when(F.col("i") >= 2, F.when(F.get(mine, F.lit(0))["i"] == 1, F.concat(F.array("origin"), mine)).otherwise(mine))
         rows = rows.withColumn(f"slices{k}", F.array(F.struct(F.lit(0).alias("dir"), forward.alias("s")), F.struct(F.lit(1).alias("dir"), backward.alias("s"))))
-    return rows.drop(*(f"{x}{k}" for k in range(len(widths)) for x in ("ahead", "behind")), "origin", "tus", "value")
+    return rows.drop(*(f"{x}{k}" for k in range(len(widths)) for x in ("ahead", "behind")), "origin", "tus", "value", *carried)
 
 
 def windows(series: DataFrame, params: Sequence[Param]) -> DataFrame:
@@ -111,7 +122,7 @@ def windows(series: DataFrame, params: Sequence[Param]) -> DataFrame:
     """
     widths = sorted({p.micros for p in params})
     resolutions = list(dict.fromkeys((p.micros, p.word_length) for p in params))
-    rows = _points(series, widths)
+    rows = _points(series, widths, sums=any(q in TIED for p in params for q in p.quantities))
     options = F.array(*(F.struct(F.lit(r).alias("res_id"), F.lit(wl).alias("wl"), F.lit(m).alias("micros"), F.col(f"slices{widths.index(m)}").alias("slices")) for r, (m, wl) in enumerate(resolutions)))
     rows = rows.select("object_id", "band", "band_idx", "i", "n", "low", "high", F.explode(options).alias("o"))
     rows = rows.select("object_id", "band", "band_idx", F.col("i").alias("at"), "n", "low", "high", "o.res_id", "o.wl", "o.micros", F.explode("o.slices").alias("w"))
@@ -133,6 +144,7 @@ def windows(series: DataFrame, params: Sequence[Param]) -> DataFrame:
         F.when(F.col("w.dir") == 0, F.get("w.s", F.lit(0))["tus"] + F.col("micros")).otherwise(F.element_at("w.s", -1)["tus"]).alias("w_end"),
         F.transform("w.s", lambda p: p["tus"]).alias("ts"),
         values.alias("vs"),
+        F.col("w.s").alias("ps"),
         F.when(F.col("wl") == 1, F.col("n")).otherwise(size).cast("double").alias("len"),
         F.when(F.col("wl") == 1, F.col("low")).otherwise(F.array_min(values)).alias("low"),
         F.when(F.col("wl") == 1, F.col("high")).otherwise(F.array_max(values)).alias("high"),
@@ -294,11 +306,9 @@ def words(series: DataFrame, params: Sequence[Param], segmentation: str = "effec
                 part = part.withColumn("seg", F.when(F.col("dir") == 1, back).otherwise(single_segments(F.col("ts"), F.get("ts", F.lit(0)), micros, wl)))
             else:
                 part = part.where("dir = 1").withColumn("seg", back)
-            part = part.where(~F.exists("seg", lambda s: s["b"] < 0))
-        part = part.withColumn("segs", F.transform("seg", lambda s: F.struct(F.slice("ts", s["b"] + 1, s["e"] - s["b"]).alias("ts"), F.slice("vs", s["b"] + 1, s["e"] - s["b"]).alias("vs"))))
-        found = []
-        for k, p in mine:
-            found.append(F.struct(F.lit(k).alias("param_id"), _word(p, sigma).alias("word")))
+        # characters first, in a projection of their own: words use them twice
+        part = part.select("object_id", "band", "band_idx", "dir", "pos", *(_characters(p, sigma).alias(f"chars{k}") for k, p in mine))
+        found = [F.struct(F.lit(k).alias("param_id"), _word(F.col(f"chars{k}"), p).alias("word")) for k, p in mine]
         options.append(part.select("object_id", "band", "band_idx", "dir", "pos", F.explode(F.array(*found)).alias("o")).select("object_id", "band", "band_idx", "o.param_id", "dir", "pos", "o.word"))
     out = options[0]
     for o in options[1:]:
@@ -307,25 +317,56 @@ def words(series: DataFrame, params: Sequence[Param], segmentation: str = "effec
     return reduce_numerosity(out) if num_reduction else out
 
 
-def _word(p: Param, sigma: str) -> Column:
-    """The word of a window's segments ``segs``; null where every character is special."""
-    least, base = max(1, p.tol // p.word_length), float(p.characters + 1)
-    chars = F.transform("segs", lambda s: F.when(F.size(s["vs"]) >= least, _character(s, p, sigma)).otherwise(F.lit(p.characters)))
+def _characters(p: Param, sigma: str) -> Column:
+    """Characters of a window's segments ``seg``; the special one for segments of too few points.
+
+    Null where a segment is empty: a filter instead would be pushed below the
+    segments' projection and make them twice.
+    """
+    least = max(1, p.tol // p.word_length)
+    chars = F.transform("seg", lambda s: F.when(s["e"] - s["b"] >= least, _character(s["b"], s["e"], p, sigma)).otherwise(F.lit(p.characters)))
+    return F.when(~F.exists("seg", lambda s: s["b"] < 0), chars)
+
+
+def _word(chars: Column, p: Param) -> Column:
+    """The word of a window's characters; null where every one is special."""
+    base = float(p.characters + 1)
     placed = F.transform(chars, lambda c, k: c.cast("long") * F.pow(F.lit(base), k).cast("long"))
     return F.when(F.exists(chars, lambda c: c != p.characters), F.aggregate(placed, F.lit(0).cast("long"), lambda acc, x: acc + x))
 
 
-def _character(s: Column, p: Param, sigma: str) -> Column:
+def _character(b: Column, e: Column, p: Param, sigma: str) -> Column:
     char = F.lit(0)
     for name, bins in zip(p.quantities, p.bins, strict=True):
-        x = quantity(name, s["ts"], s["vs"], F.col("vs"), sigma)
+        x = _by_sums(name, b, e, sigma) if name in TIED else quantity(name, F.col("ts"), F.slice("vs", b + 1, e - b), F.col("vs"), sigma)
         points = breaks(name, bins, F.col("low"), F.col("high"), F.col("len"), p.word_length)
         if name in TIED:
-            x, points = F.round(x, 9), [F.round(b, 9) for b in points]
+            x, points = F.round(x, 9), [F.round(q, 9) for q in points]
         char = char * bins + _digit(x, points)
     return char
 
 
+def _by_sums(name: str, b: Column, e: Column, sigma: str) -> Column:
+    """A quantity of the segment [b, e) of a window from running sums, without a pass over its points."""
+    first, last, n = F.get("ps", b), F.get("ps", e - 1), (e - b).cast("double")
+    own = {"sv": first["v_"], "svv": first["v_"] * first["v_"], "st": first["t_"], "stt": first["t_"] * first["t_"], "stv": first["t_"] * first["v_"]}
+    of = lambda k: last[k] - first[k] + own[k]
+    if name == "trend":
+        spread = n * of("stt") - of("st") * of("st")
+        return F.when(last["tus"] > first["tus"], F.atan((n * of("stv") - of("st") * of("sv")) / F.nullif(spread, F.lit(0.0)))).otherwise(F.lit(math.pi / 2))
+    if name in ("var", "std"):
+        var = F.greatest(F.round(of("svv") / n - (of("sv") / n) * (of("sv") / n), 12), F.lit(0.0))
+        return var if name == "var" else F.sqrt(var)
+    # the mean of the segment within the window: (mean - mu) / sigma, moments shifted back by the lowest value
+    begin, end, m = F.get("ps", F.lit(0)), F.element_at("ps", -1), F.size("ps").cast("double")
+    shift = begin["value"] - begin["v_"]
+    s1 = (end["sv"] - begin["sv"] + begin["v_"]) / m
+    s2 = (end["svv"] - begin["svv"] + begin["v_"] * begin["v_"]) / m
+    mu, square = s1 + shift, s2 + 2 * shift * s1 + shift * shift
+    spread = F.sqrt(F.abs(square * square - mu * mu)) if sigma == "coded" else F.sqrt(F.abs(square - mu * mu))
+    return F.when(spread > 0, (of("sv") / n - s1) / spread).otherwise(F.lit(0.0))
+
+
 def reduce_numerosity(words_: DataFrame) -> DataFrame:
     """Leaves out a word that equals the one before it, per (object, band, parameter)."""
     order = W.partitionBy("object_id", "band", "param_id").orderBy("dir", "pos")
