@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel  # noqa: F401  (documented: nothing is kept in local storage)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +21,13 @@ from .components import connected_components
 
 #: A join side up to this many rows (of two longs) may be broadcast; beyond, it is shuffled.
 BROADCAST_ROWS = 2_000_000
+#: Parity cells of a set's sketch, and of the finer one of candidates.
+SKETCH_BITS, FINE_BITS = 512, 4096
+#: Nodes of a signature that are compared in one block.
+BLOCK_ROWS = 1000
 
+#: Signatures keep 48 bits: equal ones of different projections cost a comparison, never a link.
+_SIGNATURE_MASK = np.uint64((1 << 48) - 1)
 _CELL_SALT, _PART_SALT = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
 
 
@@ -90,7 +95,7 @@ def signatures(runs, sizes, begins, threshold: int) -> tuple[np.ndarray, np.ndar
                 found.append(mix(base + np.uint64(c * 3 + d) + mix(cells[c::3] + np.uint64(c + 1)) * np.uint64(0x1F83D9ABFB41BD6B) + mix(cells[d::3] + np.uint64(d + 7))))
     if not owners:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(owners), np.concatenate(found)
+    return np.concatenate(owners), np.concatenate(found) & _SIGNATURE_MASK
 
 
 def _signature_rows(width: int, threshold: int):
@@ -121,10 +126,17 @@ def _signature_rows(width: int, threshold: int):
         fresh[1:] |= node[1:] != node[:-1]
         head = node[np.maximum.accumulate(np.where(new_sig, np.arange(len(sig)), 0))]
         sig, node, head = sig[fresh], node[fresh], head[fresh]
-        place = np.where(head == node, sig, mix(node.view(np.uint64) ^ sig.view(np.uint64)).view(np.int64))
+        order = np.argsort(node, kind="stable")  # equal nodes side by side: shuffle files shrink by half
+        sig, node, head = sig[order], node[order], head[order]
+        own = head == node
+        led = own & np.isin(sig, sig[~own])  # heads with members here: one more row, as a member of their own
+        sig, node, head = (np.concatenate([x, x[led]]) for x in (sig, node, head))
+        own = np.concatenate([own, np.zeros(int(led.sum()), dtype=bool)])
+        place = np.where(own, sig, (mix(node.view(np.uint64) ^ sig.view(np.uint64)) & _SIGNATURE_MASK).view(np.int64))
         for at in range(0, len(sig), 100_000):
             to = at + 100_000
-            yield {"place": place[at:to], "sig": sig[at:to], "node": node[at:to], "head": head[at:to]}
+            # a head's row says its signature by its place alone
+            yield {"place": place[at:to], "node": node[at:to], "sig": pa.array(sig[at:to], mask=own[at:to]), "head": pa.array(head[at:to], mask=own[at:to])}
 
     return over
 
@@ -138,10 +150,13 @@ def _shared(batches):
     held_sig = held_node = None
     held_out = False
     for batch in batches:
-        sig, node, head = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        if not len(sig):
+        if not batch.num_rows:
             continue
-        local = node != head
+        node = batch.column(1).to_numpy(zero_copy_only=False)
+        local = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+        sig = batch.column(2).fill_null(0).to_numpy(zero_copy_only=False)
+        head = batch.column(3).fill_null(0).to_numpy(zero_copy_only=False)
+        sig = np.where(local, sig, batch.column(0).to_numpy(zero_copy_only=False))
         out_s, out_n, out_h = [sig[local]], [node[local]], [head[local]]
         s, n = sig[~local], node[~local]
         if len(s):
@@ -167,29 +182,37 @@ def _shared(batches):
             yield pa.RecordBatch.from_pydict({"sig": s.astype(np.int64), "node": n.astype(np.int64), "head": h.astype(np.int64)})
 
 
-def _set_rows(width: int):
+def _set_rows(width: int, bits: int = 0):
+    """(node, n, parity) with a sketch of ``bits`` cells, or (node, n, elements) with the set itself."""
+
     def over(batch):
-        for _, _, runs, sizes, begins, ids in text_sets(batch.column(0), width):
+        for at, to, runs, sizes, begins, ids in text_sets(batch.column(0), width):
             _, keep = np.unique(ids, return_index=True)
             keep = keep[sizes[keep] > 0]
-            raw = runs.tobytes()
-            yield {"node": ids[keep], "n": sizes[keep], "elements": pa.array([raw[8 * begins[i] : 8 * begins[i + 1]] for i in keep], pa.binary())}
+            if bits:
+                words = _parities(runs, np.repeat(np.arange(to - at), sizes), to - at, bits)
+                yield {"node": ids[keep], "n": sizes[keep], "parity": pa.array([words[i].tobytes() for i in keep], pa.binary())}
+            else:
+                raw = runs.tobytes()
+                yield {"node": ids[keep], "n": sizes[keep], "elements": pa.array([raw[8 * begins[i] : 8 * begins[i + 1]] for i in keep], pa.binary())}
 
     return over
 
 
-def _counts_rows(cells: int):
-    """Counts of a set's elements over fixed cells: sum |difference| never exceeds the number of differing elements."""
+def _parities(runs, owner, n: int, bits: int) -> np.ndarray:
+    """n x bits/64 words: parities of each set's elements over hash cells.
 
-    def over(batch):
-        out = []
-        for raw in batch.column(2).to_pylist():
-            h = np.frombuffer(raw, dtype=np.uint64)
-            counts = np.bincount(((h >> np.uint64(17)) % np.uint64(cells)).astype(np.int64), minlength=cells)
-            out.append(np.minimum(counts, 65535).astype(np.uint16).tobytes())
-        yield {"node": batch.column(0), "n": batch.column(1), "counts": pa.array(out, pa.binary())}
+    Cells that differ between two sets never outnumber the elements that do,
+    so they bound the difference from below, exactly.
+    """
+    cells = np.zeros((n, bits), dtype=np.uint8)
+    np.bitwise_xor.at(cells, (owner, ((runs >> np.uint64(17)) % np.uint64(bits)).astype(np.int64)), 1)
+    return np.packbits(cells, axis=1).view(np.uint64)
 
-    return over
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Number of cells that differ."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
 
 
 def _verify(threshold: int):
@@ -206,33 +229,103 @@ def _verify(threshold: int):
     return over
 
 
+def _most(n, m, threshold: int):
+    """The most elements by which linked sets of these sizes differ."""
+    return (100 - threshold) * (n + m) // (100 + threshold)
+
+
 def _near(threshold: int):
-    """Drops pairs that the bound of :func:`_counts_rows` rules out."""
+    """Of rows (a, b, n_a, n_b, parity_a, parity_b), the pairs that sizes and parities allow."""
 
     def over(batch):
-        a, b, n, m = (batch.column(i) for i in range(4))
-        x = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.uint16).reshape(len(a), -1).astype(np.int32)
-        y = np.frombuffer(b"".join(batch.column(5).to_pylist()), dtype=np.uint16).reshape(len(a), -1).astype(np.int32)
-        most = (100 - threshold) * (n.to_numpy() + m.to_numpy()) // (100 + threshold)
-        keep = np.flatnonzero(np.abs(x - y).sum(axis=1) <= most)
-        yield {"a": a.take(pa.array(keep)), "b": b.take(pa.array(keep))}
+        a, b, n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        if not len(a):
+            return
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint64).reshape(len(a), -1) for i in (4, 5))
+        keep = (100 * np.minimum(n, m) >= threshold * np.maximum(n, m)) & (_apart(x, y) <= _most(n, m, threshold))
+        yield {"a": a[keep], "b": b[keep]}
+
+    return over
+
+
+def _near_in_groups(threshold: int):
+    """Of rows (sig, left, right, node, root, n, parity, block) sorted by the first three: pairs of different components that may link.
+
+    Each group is a pair of blocks of at most BLOCK_ROWS nodes of a signature
+    (or a block with itself); its pairs are tested as arrays and never leave
+    the task unless the bound allows them.
+    """
+
+    def pairs(group):
+        node, root, n, block = (group[k].to_numpy() for k in ("node", "root", "n", "block"))
+        words = np.frombuffer(b"".join(group["parity"]), dtype=np.uint64).reshape(len(node), -1)
+        left, right = int(group["left"].iloc[0]), int(group["right"].iloc[0])
+        one = np.flatnonzero(block == left)
+        two = np.flatnonzero(block == right)
+        for at in range(0, len(one), 256):
+            i = one[at : at + 256]
+            ok = root[i][:, None] != root[two][None, :]
+            if left == right:
+                ok &= node[i][:, None] < node[two][None, :]
+            ok &= 100 * np.minimum(n[i][:, None], n[two][None, :]) >= threshold * np.maximum(n[i][:, None], n[two][None, :])
+            r, c = np.nonzero(ok)
+            if len(r):
+                keep = _apart(words[i[r]], words[two[c]]) <= _most(n[i[r]], n[two[c]], threshold)
+                yield node[i[r[keep]]], node[two[c[keep]]]
+
+    def over(batches):
+        import pandas as pd
+
+        held = None
+        for batch in batches:
+            frame = batch.to_pandas()
+            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            if not len(frame):
+                continue
+            key = frame[["sig", "left", "right"]].to_numpy()
+            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            held = frame.iloc[cuts[-1] if len(cuts) else 0 :]
+            yield from _emit(frame.iloc[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)) if len(cuts) else ()
+        if held is not None:
+            yield from _emit([held])
+
+    def _emit(groups):
+        a, b = [], []
+        for group in groups:
+            for x, y in pairs(group):
+                a.append(x), b.append(y)
+        if a:
+            yield pa.RecordBatch.from_pydict({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return over
 
 
-def _join_small(left: DataFrame, right: DataFrame, on, how: str, rows: int) -> DataFrame:
-    """Broadcasts ``right`` when its counted rows are within the bound, else shuffles."""
-    return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, on, how)
+def _near_pairs(pairs: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
+    """Of pairs (a, b), those that sizes and the sketches (node, n, parity) allow."""
+    of = lambda x: sketches.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}"))
+    joined = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "parity_a", "parity_b")
+    return materialise(arrow_map(joined, _near(threshold), "a long, b long"))
 
 
-def _links(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Of pairs (a, b), those whose sets are similar enough."""
-    of = lambda side: sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("elements").alias(f"set_{side}"))
-    joined = pairs.join(of("a"), "a").join(of("b"), "b").where(f"100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)")
-    return arrow_map(joined.select("a", "b", "set_a", "set_b"), _verify(threshold), "a long, b long")
+def _owned(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """One text of every node in the pairs (a, b)."""
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    owners = materialise(nodes.join(wanted, "node", "left_semi").select("owner"))
+    side = F.broadcast(owners) if owners.count() <= BROADCAST_ROWS else owners
+    return texts.join(side, F.col("doc_id").eqNullSafe(F.col("owner")), "left_semi").select("text")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, threshold: int = 85, cells: int = 64) -> DataFrame:
+def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
+    """Of pairs (a, b), those whose sets are similar enough: the texts of their nodes are read again, and only these."""
+    sketches = materialise(arrow_map(_owned(pairs, nodes, texts), _set_rows(width, FINE_BITS), "node long, n long, parity binary"))
+    fine = _near_pairs(pairs, sketches, threshold)
+    sets = materialise(arrow_map(_owned(fine, nodes, texts), _set_rows(width), "node long, n long, elements binary"))
+    of = lambda x: sets.select(F.col("node").alias(x), F.col("elements").alias(f"set_{x}"))
+    joined = fine.join(of("a"), "a").join(of("b"), "b")
+    return materialise(arrow_map(joined.select("a", "b", "set_a", "set_b"), _verify(threshold), "a long, b long").distinct())
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, threshold: int = 85) -> DataFrame:
     """(id, n_shingles, component_id) for every row of ``docs``.
 
     Two texts link when ``100 * |A & B| >= threshold * |A | B|`` over their
@@ -248,54 +341,45 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     collide with probability 2**-64 a pair.
 
     Scale: signatures are numbers computed from Arrow batches; one shuffle of
-    (signature, node) rows, heads of a batch only; pairs go to the least node
-    of a signature (no group is paired out); only where a signature still
-    joins different components are its cross-component pairs formed, and an
-    exact lower bound of the difference drops most of them before any set is
-    read.
+    (signature, node) rows, heads of a batch only; each node is compared with
+    the least node of each signature; only where a signature still holds
+    different components are its nodes compared across these, in blocks of
+    bounded size and by 64-byte sketches whose bound is exact.  What the bound
+    allows, a small part, is verified on the whole sets.
     """
     session_for(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def ids(batch):
         keys = batch.column(0)
-        for at, to, _, sizes, _, nodes in text_sets(batch.column(1), width):
-            yield {"doc_id": keys.slice(at, to - at), "n_shingles": sizes, "node": pa.array(nodes, mask=sizes == 0)}
-
-    members = materialise(arrow_map(rows, ids, "doc_id long, n_shingles long, node long"))
-    texts = rows.select("text").where("text is not null")
-    signed = arrow_map(texts, _signature_rows(width, threshold), "place long, sig long, node long, head long")
+        for at, to, runs, sizes, _, nodes in text_sets(batch.column(1), width):
+            words = _parities(runs, np.repeat(np.arange(to - at), sizes), to - at, SKETCH_BITS)
+            yield {"doc_id": keys.slice(at, to - at), "n_shingles": sizes, "node": pa.array(nodes, mask=sizes == 0), "parity": pa.array([x.tobytes() for x in words], pa.binary())}
+
+    members = materialise(arrow_map(rows, ids, "doc_id long, n_shingles long, node long, parity binary"))
+    # one row for each distinct set; its text is read again from the row of the smallest id
+    nodes = materialise(members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("owner"), F.min("n_shingles").alias("n"), F.min("parity").alias("parity")))
+    texts = rows.where("text is not null")
+    signed = arrow_map(texts.select("text"), _signature_rows(width, threshold), "place long, node long, sig long, head long")
     shared = materialise(
-        signed.repartition(_partitions(docs), "place").sortWithinPartitions("place", "sig", "node").select("sig", "node", "head").mapInArrow(_shared, "sig long, node long, head long")
+        signed.repartition(_partitions(docs), "place").sortWithinPartitions("place", "sig", "node").mapInArrow(_shared, "sig long, node long, head long")
     )
-    pairs = shared.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    pairs = materialise(pairs)
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    n_wanted = wanted.count()
-    all_sets = arrow_map(texts, _set_rows(width), "node long, n long, elements binary")
-    sets = materialise(_join_small(all_sets, wanted, "node", "left_semi", n_wanted).groupBy("node").agg(F.first("n").alias("n"), F.first("elements").alias("elements")))
-    links = materialise(_links(pairs, sets, threshold))
+    # every node against the heads of its signatures
+    heads = shared.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    links = _links(_near_pairs(heads, nodes, threshold), nodes, texts, width, threshold)
     roots = connected_components(links)
 
-    # signatures that still hold nodes of different components: their cross pairs
-    shares = shared.select("sig", "node").unionByName(shared.select("sig", F.col("head").alias("node"))).distinct()
-    placed = shares.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("sig")
-    open_ = materialise(placed.join(mixed, "sig", "left_semi"))
-    cross = (
-        open_.select("sig", F.col("node").alias("a"), F.col("root").alias("root_a"))
-        .join(open_.select("sig", F.col("node").alias("b"), F.col("root").alias("root_b")), "sig")
-        .where("root_a < root_b")
-        .select("a", "b")
-        .distinct()
-    )
-    tried = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    cross = cross.join(tried, ["a", "b"], "left_anti")
-    counts = materialise(arrow_map(sets, _counts_rows(cells), "node long, n long, counts binary"))
-    of = lambda side: counts.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("counts").alias(f"counts_{side}"))
-    joined = cross.join(of("a"), "a").join(of("b"), "b").where(f"100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)")
-    near = materialise(arrow_map(joined.select("a", "b", "n_a", "n_b", "counts_a", "counts_b"), _near(threshold), "a long, b long"))
-    more = materialise(_links(near, sets, threshold))
+    # signatures that still hold nodes of different components: their pairs across components
+    placed = shared.select("sig", "node").join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
+    mixed = placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high")
+    blocks = F.ceil(F.col("m") / BLOCK_ROWS).cast("int")
+    open_ = placed.join(mixed.select("sig", blocks.alias("blocks")), "sig").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    open_ = open_.join(nodes.select("node", "n", "parity"), "node")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = open_.withColumn("other", other).select("sig", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "node", "root", "n", "parity", "block")
+    grouped = dealt.repartition(_partitions(docs), "sig", "left", "right").sortWithinPartitions("sig", "left", "right")
+    near = grouped.mapInArrow(_near_in_groups(threshold), "a long, b long").distinct()
+    more = _links(materialise(near), nodes, texts, width, threshold)
     if not more.isEmpty():
         roots = connected_components(links.unionByName(more))
     keyed = members.join(roots, members["node"] == roots["node"], "left").select(members["doc_id"], members["n_shingles"], F.coalesce(roots["root"], members["node"]).alias("root"))
