@@ -21,7 +21,7 @@ def test_label_model_finds_accuracies():
     rates = [(0.6, 0.05), (0.5, 0.02), (0.4, 0.2)]
     votes = np.stack([np.where(y, rng.random(4000) < a, rng.random(4000) < b) for a, b in rates] + [rng.random(4000) < np.where(y, 0.05, 0.7)], axis=1)
     votes = np.concatenate([votes, votes[:, :1]], axis=1)  # a copy of a voter
-    post, accuracy, share = linear.label_model(votes, np.array([1, 1, 1, 0, 1]), 0.3)
+    post, accuracy, share = linear.label_model(votes, np.array([1, 1, 1, 0, 1]), 0.3, balance=True)
     assert ((post > 0.5) == y).mean() > 0.88
     assert accuracy[0] > accuracy[2] and share[0] < 0.7 and share[4] < 0.7 and share[1] > 0.9
     assert len(linear.label_model(np.zeros((0, 2), bool), np.array([1, 0]), 0.3)[0]) == 0

@@ -35,14 +35,15 @@ def fit_logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, shap
     return w, float(b)
 
 
-def label_model(votes: np.ndarray, polarity: np.ndarray, prior: float, start: float | np.ndarray = 0.85, strength: float = 8.0, rounds: int = 50, alike: float = 0.6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, polarity: np.ndarray, prior: float, start: float | np.ndarray = 0.85, strength: float = 8.0, rounds: int = 50, alike: float = 0.6, balance: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of the hidden label from voters that vote or abstain, by expectation-maximisation.
 
     ``votes`` is a boolean matrix rows x voters, ``polarity`` 1 for a voter that
     votes for the label and 0 for one against it.  A voter is right with a rate
     that is estimated from the posteriors of the rows where it votes
     (``start``, one for all or one each, with the weight of ``strength`` rows comes first); abstaining
-    says nothing.  Voters that agree beyond what the labels explain (residual
+    says nothing.  With ``balance`` the posteriors are shifted to the mean ``prior``,
+    for a share that is known.  Voters that agree beyond what the labels explain (residual
     correlation of ``alike`` or more) share their say: log odds are divided by
     one plus the summed excess correlations.  Returns posteriors, accuracies
     and shares.  No rows give empty posteriors; a row without votes gets
@@ -56,7 +57,10 @@ def label_model(votes: np.ndarray, polarity: np.ndarray, prior: float, start: fl
     post = np.full(len(v), prior)
     base = np.log(prior / (1 - prior))
     for k in range(rounds):
-        new = sigmoid(base + v @ (share * (sign * np.log(accuracy / (1 - accuracy)) - base)))  # accuracies hold the prior
+        logit = base + v @ (share * (sign * np.log(accuracy / (1 - accuracy)) - base))  # accuracies hold the prior
+        new = sigmoid(logit)
+        if balance and len(v):
+            new = _shifted(logit, prior)
         change = np.abs(new - post).max(initial=0)
         post = new
         if k and change < 1e-5:
@@ -74,6 +78,15 @@ def label_model(votes: np.ndarray, polarity: np.ndarray, prior: float, start: fl
     return post, accuracy, share
 
 
+def _shifted(logit: np.ndarray, mean: float) -> np.ndarray:
+    """Probabilities of logits plus the constant that gives them the mean."""
+    low, high = -60.0, 60.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sigmoid(logit + mid).mean() < mean else (low, mid)
+    return sigmoid(logit + (low + high) / 2)
+
+
 def calibrate(z: np.ndarray, target: np.ndarray, rounds: int = 60) -> tuple[float, float]:
     """Scale (positive) and shift of logits ``z`` that fit 0/1 targets best, by Newton steps with a weak prior."""
     a, b = 1.0, 0.0

@@ -137,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, vote
     votes[:, len(voter) : -1] = np.array(got["patterns"].tolist(), dtype=bool)
     votes[:, -1] = ~votes[:, : len(voter)].any(axis=1)  # no word or stem: a vote against
     begin = np.concatenate([(pos[voter] + 1) / (every[voter] + 2), [0.7, 0.6, 0.6, 0.97]])
-    post, rates, share = label_model(votes, np.array([1] * (votes.shape[1] - 1) + [0]), float(n_pos / n), start=begin, strength=20.0)
+    post, rates, share = label_model(votes, np.array([1] * (votes.shape[1] - 1) + [0]), float(n_pos / n), start=begin, strength=20.0, balance=True)
     # the classifier sees every feature that at least three sampled texts have and that leans either way
     lean = np.bincount(col, weights=post[row], minlength=len(known))
     ratio = np.abs(np.log((lean + 0.5) / (post.sum() + 1)) - np.log((every - lean + 0.5) / (n - post.sum() + 1)))
