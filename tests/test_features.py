@@ -88,3 +88,49 @@ def test_nan_columns(spark):
     df = spark.createDataFrame([(1.0, float("nan"), None), (2.0, 1.0, 3)], "a double, b double, c int")
     kept, (out,) = workflow.drop_nan_columns(df)
     assert kept == ["a"] and out.columns == ["a"]
+
+
+def numpy_cv(m, y, fold, k):
+    out = []
+    for f in range(k):
+        train, test = fold != f, fold == f
+        df = (m[train] > 0).sum(axis=0)
+        idf = np.log((1 + train.sum()) / (1 + df)) + 1
+        w = np.where(m > 0, 1 + np.log(np.maximum(m, 1)), 0) * idf
+        w = w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-300)
+        classes = np.unique(y[train])
+        c = np.stack([w[train & (y == q)].mean(axis=0) for q in classes])
+        d = np.round((c**2).sum(axis=1)[None] - 2 * w @ c.T, 9)
+        pred = classes[d.argmin(axis=1)]
+        out.append(np.mean([(pred[test & (y == q)] == q).mean() for q in np.unique(y[test])]))
+    return out
+
+
+def test_cross_validation_matches_numpy(spark):
+    from wordwave.operators import search
+
+    rng = np.random.default_rng(3)
+    m = rng.poisson(0.8, (40, 7))
+    m[3] = 0
+    y, fold = rng.integers(0, 3, 40), np.arange(40) % 4
+    m[y == 1, 2] += 2
+    bag = spark.createDataFrame([(str(i), p, j, int(x)) for p in (0, 1) for i, row in enumerate(m) for j, x in enumerate(row) if x and (p == 0 or j < 5)], "object_id string, param_id int, feature long, tf long")
+    folds = spark.createDataFrame([(str(i), int(y[i]), int(fold[i])) for i in range(40)], "object_id string, label int, fold int")
+    got = {(r.param_id, r.fold): r.balanced_accuracy for r in search.cv_scores(bag, folds, 4).collect()}
+    for p, cols in ((0, 7), (1, 5)):
+        assert np.allclose([got[p, f] for f in range(4)], numpy_cv(m[:, :cols], y, fold, 4))
+
+
+def test_grid_and_stack(spark):
+    from wordwave.operators import search
+    from wordwave.sources.series import DAY
+
+    rows = [(str(o), "b", 0, k * DAY, float(k), float((k % (2 + o % 2)) * (1 + o % 2)), k) for o in range(12) for k in range(20)]
+    s = spark.createDataFrame(rows, "object_id string, band string, band_idx int, tus long, t double, value double, ord long")
+    folds = spark.createDataFrame([(str(o), o % 2, (o // 2) % 3) for o in range(12)], "object_id string, label int, fold int")
+    params = search.grid([("min_max",), ("count",)], [5.0], [1])
+    got = search.grid_search(s, folds, params, 1, k=3).orderBy("param_id").collect()
+    assert [r.quantity for r in got] == ["(Mm)", "(Co)"] and all(r.valid_cv and r.dropped == 0 for r in got)
+    stacks = search.stack_search(s, folds, params, 1, k=3, top_k=1, most=2)
+    assert len(stacks) == 1 and 0 <= stacks[0][1] <= 1
+    assert search.subtract_background(s, "median").groupBy().sum("value").first()[0] is not None

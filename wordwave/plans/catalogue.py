@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import config
-from ..operators import classify, dtw, features, sliders, words, workflow
+from ..operators import classify, dtw, features, search, sliders, words, workflow
 from ..operators.words import Param
 from ..sources import series as source
 from ..sources.series import DAY, table
@@ -699,6 +699,13 @@ def search_complexity(spark, d):
     return _results(spark, d).groupBy("quantity", "wl").agg(F.count(F.lit(1)).alias("n")).select("quantity", "wl", F.pow(F.lit(4.0), x).alias("features"), "n")
 
 
+@query(None)
+def search_grid_cv(spark, d):
+    s = _ev(spark, d)
+    labels = _labels(s).withColumn("reference_object_id", F.lit(None).cast("string"))
+    return search.grid_search(s, workflow.stratified_folds(labels, 3), search.grid([("min_max",), ("count",)], [SHORT], [1]), 5, k=3)
+
+
 # ---------------------------------------------------------------- time aggregation, warping
 
 
