@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import config
-from ..operators import classify, dtw, features, search, sliders, words, workflow
+from ..operators import classify, compact, dtw, features, search, sliders, words, workflow
 from ..operators.words import Param
 from ..sources import series as source
 from ..sources.series import DAY, table
@@ -604,6 +604,27 @@ def lsa_explained(spark, d):
     return features.explained(features.lsa(features.tfidf(bag, n), 3)[0])
 
 
+def _compact(spark, d, method: str) -> DataFrame:
+    s = _li(spark, d)
+    bag = words.feature_ids(words.bag(words.words(s, TWO)), TWO, 3)
+    return compact.CompactModel.fit(bag, _labels(s), method, budget=6, n_bands=3).transform(bag)
+
+
+@query(None)
+def compact_lsa(spark, d):
+    return _compact(spark, d, "LSA")
+
+
+@query(None)
+def compact_manova(spark, d):
+    return _compact(spark, d, "MANOVA")
+
+
+@query(None)
+def words_older(spark, d):
+    return compact.older_words(_ev(spark, d), _W, 1, "mean")
+
+
 # ---------------------------------------------------------------- folds, samples, augmentation
 
 _M = f"m AS ({META_SQL})"
