@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that are turned into arrays at a time; a longer text is taken alone.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 _SEPARATORS = np.zeros(256, dtype=bool)
 _SEPARATORS[[0x20, *range(0x09, 0x0E)]] = True
@@ -45,6 +49,33 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Ids up to this count may be broadcast; beyond, the join is shuffled.
+BROADCAST_IDS = 2_000_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id is not among ``ids`` (one column); rows with a null id stay, columns unchanged.
+
+    The ids to drop are written and counted first: few are broadcast, so that
+    texts are not shuffled.
+    """
+    dropped = materialise(ids.toDF("__dropped").where("__dropped is not null").distinct())
+    side = F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped
+    return docs.join(side, docs[id_col] == side["__dropped"], "left_anti")
+
+
+def hash_sample(df: DataFrame, rows: int, *keys) -> DataFrame:
+    """All rows of ``df``, or about nine tenths of ``rows`` of them, chosen by a hash of ``keys`` below a rate.
+
+    One count and a filter: nothing is sorted or gathered, and the choice does
+    not depend on partitions.
+    """
+    n = df.count()
+    if n <= rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < int(0.9 * rows / n * (1 << 30)))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64 on uint64 arrays."""
     with np.errstate(over="ignore"):
@@ -155,10 +186,32 @@ def shingle_hashes(words: np.ndarray, begins: np.ndarray, width: int) -> tuple[n
     return out, out_begins
 
 
-def arrow_map(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+_worker_states: dict = {}
+
+
+def worker_state(key, make: Callable):
+    """What this worker process keeps between tasks under ``key``; one key at a time."""
+    if key not in _worker_states:
+        release_worker_state()
+        _worker_states[key] = make()
+    return _worker_states[key]
+
+
+def release_worker_state() -> None:
+    """Gives back what another operator has kept in this worker process."""
+    if _worker_states:
+        _worker_states.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def arrow_map(df: DataFrame, function: Callable, schema: str, keeps_state: bool = False) -> DataFrame:
     """mapInArrow with a function from one record batch to lists of columns by name."""
 
     def over(batches):
+        if not keeps_state:
+            release_worker_state()
         for batch in batches:
             for columns in function(batch):
                 yield pa.RecordBatch.from_pydict(columns)

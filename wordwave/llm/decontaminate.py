@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, hashed_words, session_for, shingle_hashes, text_slices
+from .common import arrow_map, hashed_words, session_for, shingle_hashes, text_slices, without_ids
 
 #: Benchmarks up to so many characters are sent to every executor; larger ones are joined by seed.
 BROADCAST_CHARS = 16_000_000
@@ -201,5 +201,4 @@ def _by_seed_join(rows: DataFrame, items: DataFrame, min_tile: int, threshold: f
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_tile: int = 5, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` that cover no item; columns unchanged (rows with a null id stay)."""
-    found = contamination(docs, benchmark, min_tile, threshold).select(F.col("doc_id").alias("__found")).distinct()
-    return docs.join(found, docs["doc_id"] == found["__found"], "left_anti")
+    return without_ids(docs, contamination(docs, benchmark, min_tile, threshold).select("doc_id"), "doc_id")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, hashed_words, materialise, mix, session_for, shingle_hashes, text_slices
+from .common import arrow_map, hashed_words, materialise, mix, release_worker_state, session_for, shingle_hashes, text_slices, without_ids
 from .components import connected_components
 
 #: A join side up to this many rows (of two longs) may be broadcast; beyond, it is shuffled.
@@ -147,6 +147,7 @@ def _shared(batches):
     Works through runs that cross batches with one row held back; rows whose
     head is another node pass through.
     """
+    release_worker_state()
     held_sig = held_node = None
     held_out = False
     for batch in batches:
@@ -276,6 +277,7 @@ def _near_in_groups(threshold: int):
     def over(batches):
         import pandas as pd
 
+        release_worker_state()
         held = None
         for batch in batches:
             frame = batch.to_pandas()
@@ -392,6 +394,10 @@ def _partitions(df: DataFrame) -> int:
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component (blank texts stay); columns unchanged."""
-    found = jaccard_components(docs, id_col, text_col, width, threshold).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(found, docs[id_col] == found["__kept"], "left_semi")
+    """The rows of ``docs`` whose id is the smallest of its component; columns unchanged.
+
+    Blank texts and rows with a null id stay; rows that repeat the kept id are
+    the same document and stay.
+    """
+    found = jaccard_components(docs, id_col, text_col, width, threshold)
+    return without_ids(docs, found.where("doc_id <> component_id").select("doc_id"), id_col)

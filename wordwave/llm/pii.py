@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, session_for
+from .common import arrow_map, hash_sample, release_worker_state, session_for
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 4  # tokens of an entity, at most
@@ -258,8 +258,8 @@ def all_spans(text: str, weights: np.ndarray) -> tuple[list[tuple[int, int, int]
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, text_col: str = "text") -> np.ndarray:
     """Trains on at most ``sample_rows`` texts with a digit or @, taken by hash of the text, up to 20,000 characters each."""
     rows = docs.select(F.col(text_col).cast("string").alias("t")).where("t rlike '[0-9@]' and length(t) <= 20000")
-    got = rows.orderBy(F.xxhash64("t"), "t").limit(sample_rows).collect()
-    return train([r["t"] for r in got])
+    got = hash_sample(rows, sample_rows, "t").limit(sample_rows).collect()
+    return train(sorted(r["t"] for r in got))
 
 
 SPAN = "array<struct<start:long,kind:int,end:long>>"
@@ -312,6 +312,7 @@ def redact(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> Data
         return "".join([*out, text[at:]])
 
     def over(batches):
+        release_worker_state()
         for batch in batches:
             column = batch.column(place)
             yield batch.set_column(place, batch.schema.field(place), pa.array([mask(t) for t in column.to_pylist()], column.type))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _SEPARATORS, arrow_map, hashed_words, mix, session_for, text_slices
+from .common import _SEPARATORS, arrow_map, hash_sample, hashed_words, mix, release_worker_state, session_for, text_slices
 from .linear import fit_logistic, label_model, sigmoid
 
 SAMPLE_ROWS = 6000  # texts that the model is fitted on, at most
@@ -109,7 +109,8 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, prior: float = PRIOR, t
             yield {"doc_id": batch.column(0).slice(at, to - at), "stats": pa.array(stats.tolist(), pa.list_(pa.float64())), "levels": pa.array([x.astype(np.int8).tobytes() for x in levels], pa.binary())}
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    got = arrow_map(rows, over, "doc_id long, stats array<double>, levels binary").where("stats[0] > 0").orderBy(F.xxhash64("doc_id"), "doc_id", "levels").limit(sample_rows).toPandas()
+    rows = hash_sample(rows, sample_rows, "doc_id", F.length("text"))
+    got = arrow_map(rows, over, "doc_id long, stats array<double>, levels binary").where("stats[0] > 0").limit(sample_rows).toPandas().sort_values(["doc_id", "levels"])
     if got.empty:
         return {"weights": np.zeros(BUCKETS), "bias": -5.0}
     stats = np.array(got["stats"].tolist())
@@ -149,6 +150,7 @@ def keep_good(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast((model["weights"], model["bias"]))
 
     def over(batches):
+        release_worker_state()
         weights, bias = sent.value
         for batch in batches:
             keep = np.zeros(batch.num_rows, dtype=bool)

@@ -22,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, arrow_map, session_for
+from .common import arrow_map, session_for, worker_state
 
 MARK = "▁"
+#: Characters of text that are encoded at a time; a larger part shares more prefixes.
+SLICE_CHARS = 1 << 21
 #: Distinct words whose pieces a worker keeps between batches.
 CACHE_WORDS = 800_000
 _UNITS = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
@@ -219,16 +221,9 @@ class Model:
         return text[1:] if text.startswith(" ") else text
 
 
-_states: dict[int, tuple[Model, dict]] = {}
-
-
 def _worker_state(model_bytes: bytes) -> tuple[Model, dict]:
     """Model and word cache of this worker process, kept between tasks."""
-    key = zlib.crc32(model_bytes)
-    if key not in _states:
-        _states.clear()
-        _states[key] = (Model(model_bytes), {})
-    return _states[key]
+    return worker_state(("sentencepiece", zlib.crc32(model_bytes)), lambda: (Model(model_bytes), {}))
 
 
 def encode_decode(docs: DataFrame, model_bytes: bytes, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -258,7 +253,7 @@ def encode_decode(docs: DataFrame, model_bytes: bytes, id_col: str = "doc_id", t
         at = 0
         while at < len(texts):
             to, size = at, 0
-            while to < len(texts) and (to == at or size < SLICE_BYTES):
+            while to < len(texts) and (to == at or size < SLICE_CHARS):
                 size += len(texts[to] or "")
                 to += 1
             cut = [model.units(t or "") for t in texts[at:to]]
@@ -281,4 +276,4 @@ def encode_decode(docs: DataFrame, model_bytes: bytes, id_col: str = "doc_id", t
             at = to
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:n_names])
-    return arrow_map(rows, over, f"{columns}, n_tokens long, ids array<int>, decoded_ok boolean")
+    return arrow_map(rows, over, f"{columns}, n_tokens long, ids array<int>, decoded_ok boolean", keeps_state=True)

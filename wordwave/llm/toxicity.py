@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, arrow_map, mix, session_for, text_slices
+from .common import arrow_map, hash_sample, mix, session_for, text_slices
 from .linear import calibrate, fit_logistic, label_model, sigmoid
 
 BITS = 22
@@ -63,7 +63,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _powers_to(n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        steps = np.full(min(n, SLICE_BYTES * 4), 0xD6E8FEB86659FD93, dtype=np.uint64)
+        steps = np.full(min(n, 1 << 23), 0xD6E8FEB86659FD93, dtype=np.uint64)
         steps[0] = 1
         return np.multiply.accumulate(steps)
 
@@ -94,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, vote
     model is their share alone.
     """
     picked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("long")).alias("toxic"))
-    picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    picked = hash_sample(picked, sample_rows, "doc_id")
     rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic")
 
     def over(batch):
@@ -109,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, vote
                 "patterns": pa.array([_patterns(t or "") for t in texts[at:to]], pa.list_(pa.int64())),
             }
 
-    got = arrow_map(rows, over, "toxic long, codes binary, patterns array<long>").toPandas()
+    got = arrow_map(rows, over, "toxic long, codes binary, patterns array<long>").limit(2 * sample_rows).toPandas().sort_values("codes")
     if got.empty or got["toxic"].nunique() < 2:
         share = float(got["toxic"].mean()) if len(got) else 0.0
         return {"codes": np.zeros(0, np.int64), "weights": np.zeros(0), "bias": float(np.log((share + 1e-3) / (1 - share + 1e-3)))}
