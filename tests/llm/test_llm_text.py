@@ -99,6 +99,20 @@ def test_partenum_signatures_lose_no_link():
                 assert set(sig[owner == 0]) & set(sig[owner == 1])
 
 
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(7)
+    for n, m in ((30, 34), (900, 1100), (2000, 2300), (9000, 7600)):
+        a = rng.integers(0, 2**63, n).astype(np.uint64)
+        b = np.concatenate([a[: n // 2], rng.integers(0, 2**63, m - n // 2).astype(np.uint64)])
+        for least in (1024, 4096):
+            x, y = jaccard_join._parities(np.concatenate([a, b]), np.array([0, n]), np.array([n, m]), least)
+            length = min(len(x), len(y))
+            p, q = (jaccard_join._folded(np.frombuffer(z, dtype=np.uint8)[None], length) for z in (x, y))
+            found = jaccard_join._apart(p, q)[0]
+            assert found <= n + m - 2 * len(np.intersect1d(a, b)) and found > 0
+            assert jaccard_join._apart(p, p)[0] == 0
+
+
 def test_components_of_nothing(spark):
     assert jaccard_join.jaccard_components(docs(spark, [])).count() == 0
     assert jaccard_join.jaccard_components(docs(spark, [(None, "a b c d e"), (None, "a b c d e")])).count() == 2
