@@ -21,8 +21,8 @@ from .components import connected_components
 
 #: A join side up to this many rows (of two longs) may be broadcast; beyond, it is shuffled.
 BROADCAST_ROWS = 2_000_000
-#: Parity cells of a set's sketch, and of the finer one of candidates.
-SKETCH_BITS, FINE_BITS = 512, 4096
+#: Parity cells of a set's sketch, and of the finer one of candidates; sets beyond LARGE elements have more.
+SKETCH_BITS, FINE_BITS, LARGE = 1024, 4096, 2048
 #: Nodes of a signature that are compared in one block.
 BLOCK_ROWS = 1000
 
@@ -32,10 +32,14 @@ _CELL_SALT, _PART_SALT = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CA
 
 
 def _bands(threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last sizes of the bands: each spans a factor threshold**-3."""
+    """First and last sizes of the bands: each spans a factor 1 / threshold.
+
+    Wider bands would need fewer signatures, but shorter projections, and
+    large sets would then share empty ones.
+    """
     first, last = [1], []
     while first[-1] < 1 << 40:
-        last.append(max(first[-1], int(first[-1] * (100 / threshold) ** 3)))
+        last.append(first[-1] * 100 // threshold)
         first.append(last[-1] + 1)
     return np.array(first[:-1], dtype=np.int64), np.array(last, dtype=np.int64)
 
@@ -191,8 +195,7 @@ def _set_rows(width: int, bits: int = 0):
             _, keep = np.unique(ids, return_index=True)
             keep = keep[sizes[keep] > 0]
             if bits:
-                words = _parities(runs, np.repeat(np.arange(to - at), sizes), to - at, bits)
-                yield {"node": ids[keep], "n": sizes[keep], "parity": pa.array([words[i].tobytes() for i in keep], pa.binary())}
+                yield {"node": ids[keep], "n": sizes[keep], "parity": pa.array(_parities(runs, begins[keep], sizes[keep], bits), pa.binary())}
             else:
                 raw = runs.tobytes()
                 yield {"node": ids[keep], "n": sizes[keep], "elements": pa.array([raw[8 * begins[i] : 8 * begins[i + 1]] for i in keep], pa.binary())}
@@ -200,15 +203,37 @@ def _set_rows(width: int, bits: int = 0):
     return over
 
 
-def _parities(runs, owner, n: int, bits: int) -> np.ndarray:
-    """n x bits/64 words: parities of each set's elements over hash cells.
+def _parities(runs, begins, sizes, least: int) -> list[bytes]:
+    """Each set's sketch: parities of its elements over hash cells, packed.
 
-    Cells that differ between two sets never outnumber the elements that do,
-    so they bound the difference from below, exactly.
+    Cells that differ between two sets never outnumber the elements that do, so
+    they bound the difference from below, exactly.  Sets of up to LARGE elements
+    have ``least`` cells, larger ones at least twice their elements, in
+    powers of two, so that a longer sketch folds to a shorter one.
     """
-    cells = np.zeros((n, bits), dtype=np.uint8)
-    np.bitwise_xor.at(cells, (owner, ((runs >> np.uint64(17)) % np.uint64(bits)).astype(np.int64)), 1)
-    return np.packbits(cells, axis=1).view(np.uint64)
+    out = []
+    for begin, n in zip(begins[: len(sizes)].tolist(), sizes.tolist(), strict=True):
+        bits = least if n <= LARGE else max(least, 1 << (2 * n - 1).bit_length())
+        cells = (runs[begin : begin + n] >> np.uint64(17)) & np.uint64(bits - 1)
+        out.append(np.packbits((np.bincount(cells.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes())
+    return out
+
+
+def _matrices(sketches) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, sketches as rows of bytes) for every length of sketch."""
+    lengths = np.array([len(x) for x in sketches], dtype=np.int64)
+    out = []
+    for length in np.unique(lengths):
+        at = np.flatnonzero(lengths == length)
+        out.append((at, np.frombuffer(b"".join(sketches[i] for i in at), dtype=np.uint8).reshape(len(at), length)))
+    return out
+
+
+def _folded(rows: np.ndarray, length: int) -> np.ndarray:
+    """Sketches of ``length`` bytes, as 64-bit words: cells that share their low bits are one."""
+    if rows.shape[1] > length:
+        rows = np.bitwise_xor.reduce(rows.reshape(len(rows), rows.shape[1] // length, length), axis=1)
+    return np.ascontiguousarray(rows).view(np.uint64)
 
 
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -240,10 +265,13 @@ def _near(threshold: int):
 
     def over(batch):
         a, b, n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        if not len(a):
-            return
-        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint64).reshape(len(a), -1) for i in (4, 5))
-        keep = (100 * np.minimum(n, m) >= threshold * np.maximum(n, m)) & (_apart(x, y) <= _most(n, m, threshold))
+        keep = 100 * np.minimum(n, m) >= threshold * np.maximum(n, m)
+        left, right = _matrices(batch.column(4).to_pylist()), _matrices(batch.column(5).to_pylist())
+        for at, rows in left:
+            for to, others in right:
+                both, x, y = np.intersect1d(at, to, assume_unique=True, return_indices=True)
+                length = min(rows.shape[1], others.shape[1])
+                keep[both] &= _apart(_folded(rows[x], length), _folded(others[y], length)) <= _most(n[both], m[both], threshold)
         yield {"a": a[keep], "b": b[keep]}
 
     return over
@@ -259,20 +287,24 @@ def _near_in_groups(threshold: int):
 
     def pairs(group):
         node, root, n, block = (group[k].to_numpy() for k in ("node", "root", "n", "block"))
-        words = np.frombuffer(b"".join(group["parity"]), dtype=np.uint64).reshape(len(node), -1)
         left, right = int(group["left"].iloc[0]), int(group["right"].iloc[0])
-        one = np.flatnonzero(block == left)
-        two = np.flatnonzero(block == right)
-        for at in range(0, len(one), 256):
-            i = one[at : at + 256]
-            ok = root[i][:, None] != root[two][None, :]
-            if left == right:
-                ok &= node[i][:, None] < node[two][None, :]
-            ok &= 100 * np.minimum(n[i][:, None], n[two][None, :]) >= threshold * np.maximum(n[i][:, None], n[two][None, :])
-            r, c = np.nonzero(ok)
-            if len(r):
-                keep = _apart(words[i[r]], words[two[c]]) <= _most(n[i[r]], n[two[c]], threshold)
-                yield node[i[r[keep]]], node[two[c[keep]]]
+        tiers = _matrices(group["parity"].tolist())
+        for at, rows in tiers:
+            for to, others in tiers:
+                length = min(rows.shape[1], others.shape[1])
+                x, y = block[at] == left, block[to] == right
+                one, two, p, q = at[x], to[y], _folded(rows[x], length), _folded(others[y], length)
+                for k in range(0, len(one), 128):
+                    i = one[k : k + 128]
+                    ok = root[i][:, None] != root[two][None, :]
+                    if left == right:
+                        ok &= node[i][:, None] < node[two][None, :]
+                    ok &= 100 * np.minimum(n[i][:, None], n[two][None, :]) >= threshold * np.maximum(n[i][:, None], n[two][None, :])
+                    r, c = np.nonzero(ok)
+                    for g in range(0, len(r), 20_000):
+                        s, t = r[g : g + 20_000], c[g : g + 20_000]
+                        near = _apart(p[k + s], q[t]) <= _most(n[i[s]], n[two[t]], threshold)
+                        yield node[i[s[near]]], node[two[t[near]]]
 
     def over(batches):
         import pandas as pd
@@ -346,7 +378,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     (signature, node) rows, heads of a batch only; each node is compared with
     the least node of each signature; only where a signature still holds
     different components are its nodes compared across these, in blocks of
-    bounded size and by 64-byte sketches whose bound is exact.  What the bound
+    bounded size and by sketches (128 bytes, more for large sets) whose bound is exact.  What the bound
     allows, a small part, is verified on the whole sets.
     """
     session_for(docs.sparkSession)
@@ -354,9 +386,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def ids(batch):
         keys = batch.column(0)
-        for at, to, runs, sizes, _, nodes in text_sets(batch.column(1), width):
-            words = _parities(runs, np.repeat(np.arange(to - at), sizes), to - at, SKETCH_BITS)
-            yield {"doc_id": keys.slice(at, to - at), "n_shingles": sizes, "node": pa.array(nodes, mask=sizes == 0), "parity": pa.array([x.tobytes() for x in words], pa.binary())}
+        for at, to, runs, sizes, begins, nodes in text_sets(batch.column(1), width):
+            yield {"doc_id": keys.slice(at, to - at), "n_shingles": sizes, "node": pa.array(nodes, mask=sizes == 0), "parity": pa.array(_parities(runs, begins, sizes, SKETCH_BITS), pa.binary())}
 
     members = materialise(arrow_map(rows, ids, "doc_id long, n_shingles long, node long, parity binary"))
     # one row for each distinct set; its text is read again from the row of the smallest id
