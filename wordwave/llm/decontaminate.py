@@ -64,7 +64,7 @@ class Items:
     """Seed tables of a benchmark; an item shorter than ``min_tile`` words is one seed of its own length."""
 
     def __init__(self, item_ids: list[int], texts: list[str], min_tile: int):
-        self.min_tile, self.words, self.seeds = min_tile, {}, {}
+        self.min_tile, self.ids, self.words, self.seeds = min_tile, item_ids, {}, {}
         self.by_width: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
         column = pa.array(texts, pa.large_string())
         for at, to, data, offsets in text_slices(column):
@@ -75,7 +75,7 @@ class Items:
                     continue
                 width = min(min_tile, len(own))
                 runs, _ = shingle_hashes(own, np.array([0, len(own)]), width)
-                key = item_ids[k]
+                key = k  # items may share an id
                 self.words[key], self.seeds[key] = own, defaultdict(list)
                 for i, h in enumerate(runs.tolist()):
                     self.seeds[key][h].append(i)
@@ -112,10 +112,10 @@ class Items:
 SCHEMA = "doc_id long, item_id long, n_words long, matched long, n_tiles long, longest long, coverage double"
 
 
-def _result(doc_ids, found, n_words) -> dict:
+def _result(doc_ids, found, n_words, item_ids) -> dict:
     return {
         "doc_id": pa.array([doc_ids[r] for r, _, _ in found], pa.int64()),
-        "item_id": pa.array([k for _, k, _ in found], pa.int64()),
+        "item_id": pa.array([item_ids[k] for _, k, _ in found], pa.int64()),
         "n_words": pa.array([n_words[k] for _, k, _ in found], pa.int64()),
         "matched": pa.array([sum(n for *_, n in t) for _, _, t in found], pa.int64()),
         "n_tiles": pa.array([len(t) for *_, t in found], pa.int64()),
@@ -133,7 +133,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_tile: int = 5, thre
 
     Defined cases: null, empty and blank texts match nothing; an item shorter
     than ``min_tile`` words must occur as a whole; repeated documents give
-    repeated rows, repeated items (equal id and text) count once; rows with a
+    repeated rows, repeated items (equal id and text) count once, items that
+    share an id are tiled each for itself; rows with a
     null id keep it (items with a null id are ignored); other columns are
     ignored; an empty table gives an empty result.
 
@@ -160,7 +161,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_tile: int = 5, thre
         for at, _, data, offsets in text_slices(batch.column(1)):
             words, begins = hashed_words(data, offsets)
             found = [(at + r, k, t) for r, k, t in table.search(words, begins) if sum(n for *_, n in t) >= threshold * lengths[k] - 1e-9 and t]
-            yield _result(ids, found, lengths)
+            yield _result(ids, found, lengths, table.ids)
 
     return arrow_map(rows, over, SCHEMA)
 
@@ -194,7 +195,7 @@ def _by_seed_join(rows: DataFrame, items: DataFrame, min_tile: int, threshold: f
             for _, _, data, offsets in text_slices(pa.array([body], pa.large_string())):
                 words, begins = hashed_words(data, offsets)
                 found = [(0, k, t) for _, k, t in table.search(words, begins) if t and sum(n for *_, n in t) >= threshold * lengths[k] - 1e-9]
-                yield _result([doc], found, lengths)
+                yield _result([doc], found, lengths, table.ids)
 
     return arrow_map(joined.select("doc_id", "item_id", "item", "text"), over, SCHEMA)
 
