@@ -87,6 +87,17 @@ def test_style_tree_drops_repeated_branches(spark):
     assert site_style.extract(df.limit(0)).count() == 0
 
 
+def test_style_tree_judges_blocks_of_an_article(spark):
+    own = lambda i: f"<h1>Title {i}</h1><p>First of {i}.</p><p>Second of {i}.</p>"
+    pages = [(i, f"http://h.example/{i}", f"<body><article>{own(i)}<p>Tell your friends</p><div class='after'><p>Letters weekly</p><p>{'Even' if i % 2 else 'Odd'} offer</p></div></article></body>") for i in range(12)]
+    pages += [(i, f"http://few.example/{i}", f"<main>{own(i)}<p>Tell your friends</p></main>") for i in range(20, 24)]
+    pages += [(i, f"http://part.example/{i}", f"<main>{own(i)}<p>{'Said on some' if i < 34 else f'Third of {i}.'}</p></main>") for i in range(30, 40)]
+    got = {r.page_id: r.text for r in site_style.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i} First of {i}. Second of {i}." for i in range(12))
+    assert got[20] == "Title 20 First of 20. Second of 20. Tell your friends"
+    assert got[30] == "Title 30 First of 30. Second of 30. Said on some"
+
+
 def test_importance_by_hand(spark):
     rows = spark.createDataFrame([("h", "p", 0, 0)] * 4 + [("h", "p", 1, 5)] * 4 + [("h", "p", 2, 1)] * 4 + [("h", "p", 2, 2)], "host string, path string, kind int, value long")
     got = site_style.importances(rows).collect()[0]

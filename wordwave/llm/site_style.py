@@ -3,8 +3,9 @@
 The pages of a host are merged into one tree of element paths.  A node's
 importance follows from entropies over the pages that have it: presentation
 (how its children are laid out) and content (whether its texts differ from
-page to page).  Each page then drops branches of low importance.  Elements
-that the page itself marks as boilerplate are dropped by name or role, and an
+page to page).  Texts are the tree's leaves.  Each page then drops branches and
+leaves of low importance, within an article or main element too.  Elements that
+the page itself marks as boilerplate are dropped by name or role besides, and an
 article or main element, where there is one, bounds the text.
 """
 
@@ -59,12 +60,14 @@ def _marked(tag: str, attributes: dict[str, str], inside: bool) -> bool:
 def parse(html: str):
     """Blocks of a page in order: (path of element labels, text, marked as boilerplate, inside article or main).
 
+    Inside is 0 without an article or main element around the block, else one
+    more than the steps of its path down to the outermost of them.
     Void, implied-end and raw-text elements are handled as browsers do for
     common pages; end tags without a start are passed over.
     """
     stack: list[list] = []  # tag, label, marked, inside
     parts: list[str] = []
-    blocks: list[tuple[str, str, bool, bool]] = []
+    blocks: list[tuple[str, str, bool, int]] = []
 
     def flush():
         if parts:
@@ -74,7 +77,15 @@ def parse(html: str):
                 text = entities.unescape(text)
             text = " ".join(text.split())
             if text:
-                blocks.append(("/".join(x[1] for x in stack if x[1]), text, any(x[2] for x in stack), any(x[3] for x in stack)))
+                blocks.append(("/".join(x[1] for x in stack if x[1]), text, any(x[2] for x in stack), depth()))
+
+    def depth():
+        steps = 1
+        for x in stack:
+            steps += bool(x[1])
+            if x[3]:
+                return steps
+        return 0
 
     def pop(n):
         if any(x[0] not in _INLINE or x[2] for x in stack[n:]):
@@ -153,16 +164,26 @@ def _hash(text: str) -> int:
     return (zlib.crc32(raw) << 32 | zlib.adler32(raw)) - (1 << 63)
 
 
+def candidates(html: str) -> list[tuple[str, str, int]]:
+    """(path, text, inside) of the blocks that the style tree decides on: not marked, and inside of article or main if any such block is."""
+    blocks = [(path, text, inside) for path, text, marked, inside in parse(html) if not marked]
+    return [b for b in blocks if b[2]] or blocks
+
+
 def style_rows(pages: DataFrame) -> DataFrame:
-    """(host, path, kind, value): a page's nodes, once each.  Kind 0: the node is there; 1: its layout; 2: a text of it."""
+    """(host, path, kind, value): a page's nodes, once each.  Kind 0: the node is there; 1: its layout; 2: a text of it.
+
+    Only blocks that may stay are in the tree, and from an article or main
+    element down, where there is one.
+    """
 
     def over(batch):
         out: dict[str, list] = {"host": [], "path": [], "kind": [], "value": []}
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             rows, layout = set(), {}
-            for path, text, _, _ in parse(page or ""):
+            for path, text, inside in candidates(page or ""):
                 steps = path.split("/")
-                for k in range(1, len(steps) + 1):
+                for k in range(max(1, inside - 1), len(steps) + 1):
                     node = "/".join(steps[:k])
                     rows.add((node, 0, 0))
                     layout.setdefault(node, []).append(steps[k] if k < len(steps) else "#text")
@@ -177,8 +198,13 @@ def style_rows(pages: DataFrame) -> DataFrame:
     return arrow_map(pages.select("host", "html"), over, "host string, path string, kind int, value long")
 
 
+def counts(rows: DataFrame) -> DataFrame:
+    """(host, path, kind, value, n): the pages of every style row."""
+    return rows.groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def importances(rows: DataFrame) -> DataFrame:
-    """(host, path, pages, importance) of the style tree's nodes.
+    """(host, path, pages, importance) of the style tree's nodes, from style rows or their counts.
 
     Content: one minus the mean, over the node's distinct texts, of the entropy
     of their spread over the m pages that have the node (log_m of the pages
@@ -186,7 +212,7 @@ def importances(rows: DataFrame) -> DataFrame:
     keeps the larger of the two.  Counts are summed before they are shuffled, so
     a host with a third of all pages is no heavier than its distinct texts.
     """
-    counted = rows.groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    counted = rows if "n" in rows.columns else counts(rows)
     n = F.col("n")
     summed = counted.groupBy("host", "path").agg(
         F.max(F.when(F.col("kind") == 0, n)).alias("pages"),
@@ -200,17 +226,32 @@ def importances(rows: DataFrame) -> DataFrame:
     return summed.select("host", "path", "pages", F.when(F.col("pages") > 1, F.greatest(content, presentation)).otherwise(1.0).alias("importance"))
 
 
+def leaf(path, text_hash):
+    """Name of a text as a node below its path."""
+    return F.concat(path, F.lit("/#"), text_hash.cast("string"))
+
+
+def low_paths(counted: DataFrame, min_pages: int, min_importance: float) -> DataFrame:
+    """(host, path) of the nodes and leaves of low importance.
+
+    A leaf has one text, so its importance is one minus the entropy of that
+    text's spread over the pages with the node.  As this falls below any bound
+    for a small share of many pages, a leaf also needs more than half of them.
+    """
+    nodes = importances(counted).where(F.col("pages") >= min_pages)
+    n, m = F.col("n"), F.col("pages")
+    texts = counted.where((F.col("kind") == 2) & (2 * n > min_pages)).join(nodes.select("host", "path", "pages"), ["host", "path"])
+    texts = texts.where((2 * n > m) & (1 - F.log(n.cast("double")) / F.log(m.cast("double")) < min_importance))
+    return nodes.where(F.col("importance") < min_importance).select("host", "path").unionByName(texts.select("host", leaf(F.col("path"), F.col("value")).alias("path")))
+
+
 def main_text(html: str, low: frozenset[str] | set[str]) -> str:
-    """Main text of a page, given the host's paths of low importance."""
-    blocks = parse(html)
-    bounded = any(inside and not marked for _, _, marked, inside in blocks)
+    """Main text of a page, given the host's paths and leaves of low importance; of an article or main element, only what lies below it is judged."""
     kept = []
-    for path, text, marked, inside in blocks:
-        if marked or bounded and not inside:
-            continue
-        if not bounded and low:
+    for path, text, inside in candidates(html):
+        if low:
             steps = path.split("/")
-            if any("/".join(steps[:k]) in low for k in range(1, len(steps) + 1)):
+            if f"{path}/#{_hash(text)}" in low or any("/".join(steps[:k]) in low for k in range(max(1, inside), len(steps) + 1)):
                 continue
         kept.append(text)
     return " ".join(kept)
@@ -230,7 +271,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_importance: float
     """
     session_for(pages.sparkSession)
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
-    low = importances(style_rows(rows)).where((F.col("pages") >= min_pages) & (F.col("importance") < min_importance))
+    low = low_paths(materialise(counts(style_rows(rows))), min_pages, min_importance)
     low = materialise(low.groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("low")))
     joined = rows.join(F.broadcast(low) if low.count() <= BROADCAST_ROWS else low, "host", "left").select("page_id", "url", "html", "low")
 
