@@ -98,6 +98,14 @@ def test_style_tree_judges_blocks_of_an_article(spark):
     assert got[30] == "Title 30 First of 30. Second of 30. Said on some"
 
 
+def test_style_tree_counts_copies_of_a_page_once(spark):
+    page = "<body><div><h1>Title</h1><p>Own text</p></div></body>"
+    pages = [(i, "http://h.example/", f"<!-- {i} -->{page}") for i in range(8)] + [(i, None, f"<nav>{i}</nav><p>No host</p>") for i in range(10, 18)]
+    pages += [(i, "http://four.example/", f"<article><p>Own {i % 4}</p><p>Same</p></article>") for i in range(20, 40)]
+    got = {r.page_id: r.text for r in site_style.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: "Title Own text" if i < 10 else "No host" if i < 20 else f"Own {i % 4} Same" for i, *_ in pages}
+
+
 def test_importance_by_hand(spark):
     rows = spark.createDataFrame([("h", "p", 0, 0)] * 4 + [("h", "p", 1, 5)] * 4 + [("h", "p", 2, 1)] * 4 + [("h", "p", 2, 2)], "host string, path string, kind int, value long")
     got = site_style.importances(rows).collect()[0]

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, materialise, session_for
 
-MIN_PAGES = 5  # pages of a host that a node needs before its importance counts
+MIN_PAGES = 5  # different pages of a host that a node needs before its importance counts
 MIN_IMPORTANCE = 0.25  # of a branch that stays
 BROADCAST_ROWS = 100_000
 
@@ -171,17 +171,19 @@ def candidates(html: str) -> list[tuple[str, str, int]]:
 
 
 def style_rows(pages: DataFrame) -> DataFrame:
-    """(host, path, kind, value): a page's nodes, once each.  Kind 0: the node is there; 1: its layout; 2: a text of it.
+    """(host, path, kind, value, page): a page's nodes, once each.  Kind 0: the node is there; 1: its layout; 2: a text of it.
 
-    Only blocks that may stay are in the tree, and from an article or main
+    ``page`` is a hash of the page's blocks, the same for copies.  Only blocks that may stay are in the tree, and from an article or main
     element down, where there is one.
     """
 
     def over(batch):
-        out: dict[str, list] = {"host": [], "path": [], "kind": [], "value": []}
+        out: dict[str, list] = {"host": [], "path": [], "kind": [], "value": [], "page": []}
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             rows, layout = set(), {}
-            for path, text, inside in candidates(page or ""):
+            blocks = candidates(page or "")
+            own = _hash("\n".join(f"{path}\t{text}" for path, text, _ in blocks))
+            for path, text, inside in blocks:
                 steps = path.split("/")
                 for k in range(max(1, inside - 1), len(steps) + 1):
                     node = "/".join(steps[:k])
@@ -192,15 +194,16 @@ def style_rows(pages: DataFrame) -> DataFrame:
                 runs = [x for i, x in enumerate(kinds) if i == 0 or kinds[i - 1] != x]
                 rows.add((node, 1, _hash(">".join(runs))))
             for node, kind, value in rows:
-                out["host"].append(host), out["path"].append(node), out["kind"].append(kind), out["value"].append(value)
-        yield {"host": pa.array(out["host"], pa.string()), "path": pa.array(out["path"], pa.string()), "kind": pa.array(out["kind"], pa.int32()), "value": pa.array(out["value"], pa.int64())}
+                out["host"].append(host), out["path"].append(node), out["kind"].append(kind), out["value"].append(value), out["page"].append(own)
+        yield {"host": pa.array(out["host"], pa.string()), "path": pa.array(out["path"], pa.string()), "kind": pa.array(out["kind"], pa.int32()), "value": pa.array(out["value"], pa.int64()), "page": pa.array(out["page"], pa.int64())}
 
-    return arrow_map(pages.select("host", "html"), over, "host string, path string, kind int, value long")
+    return arrow_map(pages.select("host", "html"), over, "host string, path string, kind int, value long, page long")
 
 
 def counts(rows: DataFrame) -> DataFrame:
-    """(host, path, kind, value, n): the pages of every style row."""
-    return rows.groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    """(host, path, kind, value, n): the different pages of every style row; without a column ``page`` every row is one."""
+    n = F.countDistinct("page") if "page" in rows.columns else F.count(F.lit(1))
+    return rows.groupBy("host", "path", "kind", "value").agg(n.alias("n"))
 
 
 def importances(rows: DataFrame) -> DataFrame:
@@ -209,7 +212,7 @@ def importances(rows: DataFrame) -> DataFrame:
     Content: one minus the mean, over the node's distinct texts, of the entropy
     of their spread over the m pages that have the node (log_m of the pages
     with the text).  Presentation: entropy of the layouts, base m.  A node
-    keeps the larger of the two.  Counts are summed before they are shuffled, so
+    keeps the larger of the two.  Copies of a page count once.  Counts are summed before they are shuffled, so
     a host with a third of all pages is no heavier than its distinct texts.
     """
     counted = rows if "n" in rows.columns else counts(rows)
