@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from wordwave.operators import dtw, words
+from wordwave.operators import dtw, sliders, words
 from wordwave.operators.words import Param
 from wordwave.sources.series import DAY
 
@@ -89,3 +89,32 @@ def test_dtw():
     path = dtw.dtw_path(a, b)
     assert path[0] == (0, 0) and path[-1] == (12, 12)
     assert dtw.irregular_dtw([(0, 1), None, (1, 2)], [(0, 1), (1, 2)]) == 0
+
+
+def test_warped_pairs_match_one_by_one(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    a, b = ([list(rng.normal(size=rng.integers(0, 9))) for _ in range(3000)] for _ in range(2))
+    got = dtw.warped(pa.array(a, pa.list_(pa.float64())), pa.array(b, pa.list_(pa.float64())))
+    assert got.tolist() == pytest.approx([dtw.dtw_matrix(p, q)[-1, -1] for p, q in zip(a, b, strict=True)])
+    segments = lambda s: [None if v < -1 else {"slope": v, "mean": v * v} for v in s]
+    kind = pa.list_(pa.struct([("slope", pa.float64()), ("mean", pa.float64())]))
+    got = dtw.warped(pa.array(map(segments, a), kind), pa.array(map(segments, b), kind))
+    own = lambda s: [None if v < -1 else (v, v * v) for v in s]
+    assert got.tolist() == pytest.approx([dtw.irregular_dtw(own(p), own(q)) for p, q in zip(a, b, strict=True)])
+
+
+def test_warping_queries_meet_all_objects(spark, duck):
+    from conftest import DATA
+    from wordwave.plans import catalogue
+
+    series = "SELECT DISTINCT user_id AS o, event_type AS band FROM events WHERE user_id IS NOT NULL"
+    of = f"FROM ({series}) x JOIN ({series}) y USING (band) WHERE x.o % 50 = 0"
+    got = catalogue.QUERIES["dtw_distance"](spark, str(DATA)).toPandas()
+    assert len(got) == duck.sql(f"SELECT count(*) FROM (SELECT DISTINCT x.o, y.o {of})").fetchall()[0][0]
+    assert (got.distance[got.a == got.b] == 0).sum() == got.a.nunique()
+    got = catalogue.QUERIES["irregular_dtw"](spark, str(DATA)).toPandas()
+    every = {int(x.object_id) for x in sliders.tumbling_time(catalogue._ev(spark, str(DATA)), 3 * DAY).select("object_id").distinct().collect()}
+    assert set(got.other.astype(int)) == every and (got.distance[got.object_id == got.other] == 0).all()

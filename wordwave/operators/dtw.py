@@ -1,15 +1,22 @@
 """Dynamic time warping: recurrences over pairs of short sequences, in vectorised functions.
 
-Each cell depends on three neighbours, which no set operation expresses.
+Each cell depends on three neighbours, which no set operation expresses; a
+cell is computed for many pairs at once.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+PAIRS = 1024  # that are warped at a time
+BROADCAST_SERIES = 10_000  # of query objects in a block
+
 
 def dtw_matrix(a, b) -> np.ndarray:
     """Accumulated squared costs with infinite borders; the distance is the last cell (no root)."""
@@ -43,25 +50,59 @@ def irregular_dtw(a, b) -> float:
     return float(d[-1, -1])
 
 
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All elements of an array of lists (one row each, a column per field) without null structs, and the lists' lengths."""
+    flat, sizes = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    if not pa.types.is_struct(flat.type):
+        return flat.to_numpy(zero_copy_only=False).astype(float)[:, None], sizes
+    valid = flat.is_valid()
+    owner = np.repeat(np.arange(len(sizes)), sizes)[valid.to_numpy(zero_copy_only=False)]
+    fields = [x.to_numpy(zero_copy_only=False).astype(float) for x in flat.filter(valid).flatten()]
+    return np.stack(fields, axis=1), np.bincount(owner, minlength=len(sizes))
+
+
+def warped(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Distances of the pairs of two arrays of lists: the last cells of their matrices, row by row, pairs of similar lengths together."""
+    (x, nx), (y, ny) = _flat(a), _flat(b)
+    x_at, y_at = np.cumsum(nx) - nx, np.cumsum(ny) - ny
+    out, order = np.full(len(nx), np.inf), np.lexsort((ny, nx))
+
+    def padded(values, starts, most):
+        return values[np.minimum(starts + np.arange(most)[:, None], len(values) - 1)]
+
+    for at in range(0, len(order), PAIRS):
+        rows = order[at : at + PAIRS]
+        p, q = nx[rows], ny[rows]
+        above = np.full((q.max() + 1, len(rows)), np.inf)
+        above[0] = 0.0
+        out[rows[(p == 0) & (q == 0)]] = 0.0
+        if not p.max() or not q.max():
+            continue
+        left, right = padded(x, x_at[rows], p.max()), padded(y, y_at[rows], q.max())
+        for i in range(len(left)):
+            cost = ((left[i] - right) ** 2).sum(axis=-1)
+            here = np.full_like(above, np.inf)
+            for j in range(len(right)):
+                here[j + 1] = cost[j] + np.minimum(np.minimum(above[j + 1], here[j]), above[j])
+            ends = np.flatnonzero(p == i + 1)
+            out[rows[ends]] = here[q[ends], ends]
+            above = here
+    return out
+
+
 def dtw(a: Column, b: Column) -> Column:
     """Distance of two array columns."""
 
-    @F.pandas_udf("double")
-    def distance(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([float(dtw_matrix(p, q)[-1, -1]) for p, q in zip(x, y, strict=True)], dtype=float)
+    @F.arrow_udf("double")
+    def distance(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array(warped(x, y), pa.float64())
 
     return distance(a, b)
 
 
 def segment_dtw(a: Column, b: Column) -> Column:
     """Irregular distance of two array columns of structs (slope, mean); null elements are invalid segments."""
-
-    @F.pandas_udf("double")
-    def distance(x: pd.Series, y: pd.Series) -> pd.Series:
-        own = lambda s: [None if e is None else (e["slope"], e["mean"]) for e in s]
-        return pd.Series([irregular_dtw(own(p), own(q)) for p, q in zip(x, y, strict=True)], dtype=float)
-
-    return distance(a, b)
+    return dtw(a, b)
 
 
 def sequences(series: DataFrame) -> DataFrame:
@@ -69,14 +110,22 @@ def sequences(series: DataFrame) -> DataFrame:
     return series.groupBy("object_id", "band").agg(F.transform(F.array_sort(F.collect_list(F.struct("tus", "ord", "value"))), lambda x: x["value"]).alias("values"))
 
 
-def distance_matrix(queries: DataFrame, references: DataFrame) -> DataFrame:
-    """(a, b, distance): warping distances of every query object to every reference object, summed over their common bands.
+def paired(queries: DataFrame, references: DataFrame) -> DataFrame:
+    """(a, b, band, p, q): every query series (object_id, band, values) with every reference series of its band.
 
-    A stated reference set (the prototypes of a classifier); the join is on
-    the band.
+    Queries are the few: they are broadcast in blocks of objects to the
+    references, which are dealt evenly and never gathered by band.
     """
     x = queries.select(F.col("object_id").alias("a"), "band", F.col("values").alias("p"))
     y = references.select(F.col("object_id").alias("b"), "band", F.col("values").alias("q"))
-    n = references.count()
-    pairs = x.join(F.broadcast(y) if n <= 10_000 else y, "band").select("a", "b", dtw(F.col("p"), F.col("q")).alias("d"))
+    y = y.repartition(4 * references.sparkSession.sparkContext.defaultParallelism, "b", "band")
+    blocks = -(-x.select("a").distinct().count() // BROADCAST_SERIES) or 1
+    block = F.pmod(F.xxhash64("a"), F.lit(blocks))
+    parts = [y.join(F.broadcast(x.where(block == k) if blocks > 1 else x), "band") for k in range(blocks)]
+    return reduce(DataFrame.unionByName, parts).select("a", "b", "band", "p", "q")
+
+
+def distance_matrix(queries: DataFrame, references: DataFrame) -> DataFrame:
+    """(a, b, distance): warping distances of every query object to every reference object, summed over their common bands."""
+    pairs = paired(queries, references).select("a", "b", dtw(F.col("p"), F.col("q")).alias("d"))
     return pairs.groupBy("a", "b").agg(F.sum("d").alias("distance"))

@@ -753,14 +753,13 @@ def interpolated_gaps(spark, d):
 @query(None)
 def dtw_distance(spark, d):
     s = dtw.sequences(_ev(spark, d))
-    return dtw.distance_matrix(s.where("cast(object_id as long) % 50 = 0"), s.where("cast(object_id as long) % 50 = 1"))
+    return dtw.distance_matrix(s.where("cast(object_id as long) % 50 = 0"), s)
 
 
 @query(None)
 def irregular_dtw(spark, d):
     t = sliders.tumbling_time(_ev(spark, d), 3 * DAY)
     seg = F.when(F.col("n") > 0, F.struct("slope", "mean"))
-    a = t.groupBy("object_id", "band").agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", seg.alias("s")))), lambda x: x["s"]).alias("a"))
-    x = a.where("cast(object_id as long) % 50 = 0")
-    y = a.where("cast(object_id as long) % 50 = 1").select(F.col("object_id").alias("other"), "band", F.col("a").alias("b"))
-    return x.join(F.broadcast(y), "band").select("object_id", "other", "band", dtw.segment_dtw(F.col("a"), F.col("b")).alias("distance"))
+    a = t.groupBy("object_id", "band").agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", seg.alias("s")))), lambda x: x["s"]).alias("values"))
+    pairs = dtw.paired(a.where("cast(object_id as long) % 50 = 0"), a)
+    return pairs.select(F.col("a").alias("object_id"), F.col("b").alias("other"), "band", dtw.segment_dtw(F.col("p"), F.col("q")).alias("distance"))
