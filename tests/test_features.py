@@ -134,3 +134,13 @@ def test_grid_and_stack(spark):
     stacks = search.stack_search(s, folds, params, 1, k=3, top_k=1, most=2)
     assert len(stacks) == 1 and 0 <= stacks[0][1] <= 1
     assert search.subtract_background(s, "median").groupBy().sum("value").first()[0] is not None
+
+
+def test_boosted_trees_learn_every_class(spark, duck):
+    from conftest import DATA
+    from wordwave.plans import catalogue
+
+    got = catalogue.QUERIES["gbt_classify"](spark, str(DATA)).toPandas()
+    want = duck.sql("SELECT vec_id, label FROM embeddings WHERE vec_id % 5 = 0").fetchall()
+    assert sorted((r.vec_id, int(r.label)) for r in got.itertuples()) == sorted(want)
+    assert got.label.nunique() == 10 and got.pred.max() > 2

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: Rows of prototypes that are broadcast to every query row; more are joined feature by feature.
 BROADCAST_PROTOTYPES = 100_000
+#: Classes whose boosted trees are fitted at the same time.
+CLASSES_AT_ONCE = 4
 
 
 def centroids(weights: DataFrame, labels: DataFrame) -> DataFrame:
@@ -91,11 +93,11 @@ def balanced_accuracy(predictions: DataFrame) -> DataFrame:
 
 
 def boosted_trees(train: DataFrame, weight: str | None = None, rounds: int = 10, depth: int = 3, seed: int = 1):
-    """One-against-rest gradient boosted trees on (features vector, label), optionally weighted."""
+    """One-against-rest gradient boosted trees on (features vector, label), optionally weighted; classes are fitted side by side."""
     from pyspark.ml.classification import GBTClassifier, OneVsRest
 
     tree = GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=depth, seed=seed)
-    model = OneVsRest(classifier=tree, featuresCol="features", labelCol="label")
+    model = OneVsRest(classifier=tree, featuresCol="features", labelCol="label", parallelism=CLASSES_AT_ONCE)
     return model.setWeightCol(weight).fit(train) if weight else model.fit(train)
 
 

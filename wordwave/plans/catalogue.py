@@ -587,8 +587,8 @@ def redshift_weights(spark, d):
 def gbt_classify(spark, d):
     from pyspark.ml.functions import array_to_vector
 
-    e = table(spark, d, "embeddings").where("label < 3").select("vec_id", F.col("label").cast("double").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    model = classify.boosted_trees(e.where("vec_id % 5 <> 0"), rounds=3)
+    e = table(spark, d, "embeddings").select("vec_id", F.col("label").cast("double").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    model = classify.boosted_trees(e.where("vec_id % 5 <> 0"))
     return model.transform(e.where("vec_id % 5 = 0")).select("vec_id", "label", F.col("prediction").alias("pred"))
 
 
