@@ -144,3 +144,16 @@ def test_boosted_trees_learn_every_class(spark, duck):
     want = duck.sql("SELECT vec_id, label FROM embeddings WHERE vec_id % 5 = 0").fetchall()
     assert sorted((r.vec_id, int(r.label)) for r in got.itertuples()) == sorted(want)
     assert got.label.nunique() == 10 and got.pred.max() > 2
+
+
+def test_neighbours_among_all_other_rows(spark):
+    from wordwave.operators import classify
+
+    rows = spark.createDataFrame([(i, i % 3, [float(i * i % 101), float(i % 7)]) for i in range(120)], "object_id long, label int, features array<double>")
+    known = {r.object_id: r for r in rows.collect()}
+    got = {r.object_id: r.pred for r in classify.k_nearest_others(rows.where("object_id % 50 = 0"), rows, k=3, block=16).collect()}
+    for i in (0, 50, 100):
+        near = sorted((round(sum((a - b) ** 2 for a, b in zip(known[i].features, r.features, strict=True)) ** 0.5, 9), r.label) for j, r in known.items() if j != i)[:3]
+        votes = {c: (-sum(x == c for _, x in near), min(d for d, x in near if x == c), c) for _, c in near}
+        assert got[i] == min(votes, key=votes.get)
+    assert sorted(got) == [0, 50, 100]

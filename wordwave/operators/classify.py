@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -56,7 +58,50 @@ def k_nearest(features: DataFrame, train: DataFrame, k: int = 1) -> DataFrame:
     block = train.agg(F.collect_list(F.struct("label", F.col("features").alias("f"))).alias("block"))
     paired = features.join(F.broadcast(block), how="cross")
     near = F.slice(F.array_sort(F.transform("block", lambda t: F.struct(F.round(_euclid(F.col("features"), t["f"]), 9).alias("d"), t["label"].alias("label")))), F.lit(1), k)
-    rows = paired.select("object_id", F.explode(near).alias("x")).groupBy("object_id", "x.label").agg(F.count(F.lit(1)).alias("votes"), F.min("x.d").alias("d"))
+    return _majority(paired.select("object_id", F.explode(near).alias("x")))
+
+
+def k_nearest_others(features: DataFrame, train: DataFrame, k: int = 1, block: int = 512) -> DataFrame:
+    """(object_id, pred): as ``k_nearest``, among all rows of ``train`` (object_id, label, features) but the object itself, however many.
+
+    Both sides are dealt into blocks of about ``block`` rows by a hash of the
+    id; every pair of blocks gives its ``k`` nearest rows of each object, and
+    of these the nearest count.
+    """
+    pieces = 4 * train.sparkSession.sparkContext.defaultParallelism
+
+    def blocks(df, name, *columns):
+        n = -(-df.count() // block) or 1
+        dealt = df.withColumn("block", F.pmod(F.xxhash64("object_id"), F.lit(n))).repartition(pieces, "block")
+        return dealt.groupBy("block").agg(F.collect_list(F.struct(*columns)).alias(name)).select(name)
+
+    kinds = {f.name: f.dataType.simpleString() for f in train.schema.fields}
+
+    @F.arrow_udf(f"array<struct<object_id: {kinds['object_id']}, d: double, label: {kinds['label']}>>")
+    def top(queries: pa.Array, rows: pa.Array) -> pa.Array:
+        return pa.array([_top(q.values, r.values, k) for q, r in zip(queries, rows, strict=True)])
+
+    paired = blocks(train, "rows", "object_id", "features", "label").join(F.broadcast(blocks(features, "queries", "object_id", "features")), how="cross")
+    near = paired.select(F.explode(top("queries", "rows")).alias("x")).groupBy("x.object_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("x.d", "x.label"))), 1, k).alias("near"))
+    return _majority(near.select("object_id", F.explode("near").alias("x")))
+
+
+def _top(queries: pa.StructArray, rows: pa.StructArray, k: int) -> list[dict]:
+    """The ``k`` nearest ``rows`` of each of ``queries``, without rows of the same id; by distance to nine digits, then label."""
+    ids, others, labels = queries.field(0).to_pylist(), np.array(rows.field(0).to_pylist(), dtype=object), rows.field(2).to_pylist()
+    order = np.unique(np.array(labels), return_inverse=True)[1]
+    x, y = (a.field(1).flatten().to_numpy(zero_copy_only=False).reshape(len(a), -1) for a in (queries, rows))
+    found = []
+    for own, f in zip(ids, x, strict=True):
+        d = np.round(np.sqrt(((y - f) ** 2).sum(axis=1)), 9)
+        best = [i for i in np.lexsort((order, d))[: k + int((others == own).sum())] if others[i] != own][:k]
+        found += [{"object_id": own, "d": float(d[i]), "label": labels[i]} for i in best]
+    return found
+
+
+def _majority(near: DataFrame) -> DataFrame:
+    """(object_id, pred) from (object_id, x: d and label): the most frequent label; ties by distance, then label."""
+    rows = near.groupBy("object_id", "x.label").agg(F.count(F.lit(1)).alias("votes"), F.min("x.d").alias("d"))
     best = rows.groupBy("object_id").agg(F.min(F.struct((-F.col("votes")).alias("v"), "d", "label")).alias("b"))
     return best.select("object_id", F.col("b.label").alias("pred"))
 

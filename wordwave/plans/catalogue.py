@@ -573,6 +573,13 @@ def knn_predict(spark, d):
     return classify.k_nearest(e.where("object_id % 50 = 0").select("object_id", "features"), e.where("object_id % 10 = 1").select("label", "features"))
 
 
+@query(f"""WITH {_EMB}, q AS (SELECT object_id, f FROM e WHERE object_id % 50 = 0)
+SELECT q.object_id, t.label AS pred FROM q JOIN e t ON t.object_id <> q.object_id QUALIFY row_number() OVER (PARTITION BY q.object_id ORDER BY round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (q.f[i] - t.f[i]) * (q.f[i] - t.f[i])))), 9), t.label) = 1""")
+def knn_predict_all(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("object_id"), "label", F.col("embedding").cast("array<double>").alias("features"))
+    return classify.k_nearest_others(e.where("object_id % 50 = 0").select("object_id", "features"), e)
+
+
 @query(f"SELECT label, {r('sum(count(*)) OVER () / count(*) OVER () / count(*)')} AS weight FROM ({META_SQL}) GROUP BY 1".replace("count(*) OVER ()", "(SELECT count(DISTINCT label) FROM (" + META_SQL + "))").replace("sum(count(*)) OVER ()", "(SELECT count(*) FROM (" + META_SQL + "))"))
 def class_weights_flat(spark, d):
     return rounded(classify.class_weights(metadata(spark, d)), "weight")
