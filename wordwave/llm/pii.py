@@ -4,12 +4,16 @@ Base patterns give the spans that are always reported.  Around them, a
 semi-Markov CRF (Sarawagi and Cohen 2004) scores whole candidate segments of up
 to ``MAX_TOKENS`` tokens with span features, and a bounded-entity dynamic
 program chooses boundaries and types together.  Its weights are trained here,
-on a bounded sample whose base spans are the labels; at run time it adds
-segments that the patterns do not cover.
+on the windows of a bounded sample and on lines made of entities in layouts
+that the patterns do not accept; at run time it adds such segments: addresses
+with spelled-out marks, other separators, numbers that touch other numbers.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
+import random
 import re
 
 import numpy as np
@@ -20,9 +24,10 @@ from pyspark.sql import functions as F
 from .common import arrow_map, hash_sample, release_worker_state, session_for
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_TOKENS = 4  # tokens of an entity, at most
+MAX_TOKENS = 7  # tokens of an entity, at most
 SAMPLE_ROWS = 400  # texts that the weights are trained on, at most
-MIN_POSTERIOR = 0.95  # of a segment that is added
+SAMPLE_TOKENS = 20_000  # tokens of their windows, at most
+MIN_POSTERIOR = 0.9  # of a segment that is added
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -31,7 +36,6 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
-_TRIGGER = re.compile(r"[0-9@]")
 _SPACE = re.compile(r"\s")
 
 
@@ -78,172 +82,317 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 _EDGE = ".,;:!?\"'<>[]{}|*#$%&"
+_AT = re.compile(r"@|[\[({<]\s?at\s?[\])}>]", re.I)
+_DOT = re.compile(r"[\[({<]\s?dot\s?[\])}>]", re.I)
+_MARK = re.compile(r"[0-9@]|[\[({<]\s?(?:at|dot)\s?[\])}>]", re.I)
 
 
 def windows(text: str):
-    """Runs of tokens that can be part of an entity (they hold a digit or @), as (start, end) lists.
+    """Runs of tokens that can be part of an entity, as (start, end) lists.
 
-    Other tokens can be no part of a segment, so the dynamic program splits at
-    them without loss.
+    These are tokens with a digit or @, and spelled-out marks such as ``(at)``
+    with the token on either side.  Other tokens can be no part of a segment,
+    so the dynamic program splits at them without loss.
     """
     run: list[tuple[int, int]] = []
     at = 0
-    while m := _TRIGGER.search(text, at):
-        start = m.start()
-        while start > at and not text[start - 1].isspace():
-            start -= 1
-        space = _SPACE.search(text, m.end())
-        end = space.start() if space else len(text)
-        if run and text[run[-1][1] : start].strip():
+
+    def begin_of(x, least):
+        while x > least and not text[x - 1].isspace():
+            x -= 1
+        return x
+
+    def end_of(x):
+        space = _SPACE.search(text, x)
+        return space.start() if space else len(text)
+
+    while m := _MARK.search(text, at):
+        tokens = [(begin_of(m.start(), at), end_of(m.end()))]
+        if m[0][0] not in "0123456789@":
+            before = len(text[at : tokens[0][0]].rstrip()) + at
+            if before > at:
+                tokens.insert(0, (begin_of(before, at), before))
+            after = _WORD.search(text, tokens[-1][1])
+            if after:
+                tokens.append((after.start(), end_of(after.start())))
+        if run and text[run[-1][1] : tokens[0][0]].strip():
             yield run
             run = []
-        run.append((start, end))
-        at = end
+        run += tokens
+        at = tokens[-1][1]
     if run:
         yield run
 
 
 def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
-    while start < end and text[start] in _EDGE:
-        start += 1
-    while end > start and text[end - 1] in _EDGE:
-        end -= 1
+    """The span without punctuation at its ends and without a bracket whose partner lies outside; spelled-out marks stay."""
+    while start < end:
+        if text[start] in _EDGE and not _DOT.match(text, start) and not _AT.match(text, start):
+            start += 1
+        elif text[end - 1] in _EDGE and not (text[end - 1] in "]}>" and _MARK_END.search(text, max(start, end - 8), end)):
+            end -= 1
+        elif text[start] == "(" and text.count("(", start, end) > text.count(")", start, end):
+            start += 1
+        elif text[end - 1] == ")" and text.count(")", start, end) > text.count("(", start, end):
+            end -= 1
+        else:
+            break
     return start, end
 
 
-N_FEATURES = 28
-_CUE = re.compile(r"(tel|phone|call|mobile|fax|card|visa|iban|account|mail|e-mail|ip|host|address)\W*$", re.I)
-_IPISH = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}\Z", re.A)
+_WORD = re.compile(r"\S")
+_MARK_END = re.compile(r"[\[({<]\s?(?:at|dot)\s?[\])}>]\Z", re.I)
+_CUES = tuple(
+    re.compile(rf"(?<![A-Za-z])(?:{words})\W{{0,3}}(?:\w{{1,4}}\W{{1,3}})?\Z", re.I)
+    for words in ("e-?mail|mail|contact|write to", "ip|host|address|server", "card|visa|mastercard|amex|credit|account|pan", "tel|telephone|phone|call|mobile|fax|cell|whatsapp", "version|license|v|nr|no|page|order|invoice|year|id")
+)
+_GROUPS = re.compile(r"[0-9]+")
+_NOT_NUMBER = re.compile(r"[^0-9().+/\x20-]")
+_DOMAIN_END = re.compile(r"(?:\.|[\[({<]\s?dot\s?[\])}>]\s?)[A-Za-z]{2,12}\Z", re.I)
+_DIGIT_STEPS = (1, 7, 9, 10, 11, 13, 14, 16, 17, 20)
+N_FEATURES = 1 + MAX_TOKENS + len(_DIGIT_STEPS) + 5 + 27
 
 
 def span_features(text: str, start: int, end: int, tokens: int) -> np.ndarray:
-    """Features of a whole candidate segment."""
-    s = text[start:end] if end - start <= 200 else text[start : start + 200]
-    digits = _DIGITS.findall(s)
-    n, size = len(digits), len(s)
+    """Features of a whole candidate segment and the words before it; none is one of the base patterns."""
+    s = text[start:end]
+    groups = _GROUPS.findall(s) if end - start < 4096 else [g[0] for g in _GROUPS.finditer(s)]
+    sizes = [len(g) for g in groups]
+    n = sum(sizes)
     f = np.zeros(N_FEATURES)
     f[0] = 1
-    f[min(tokens, 4)] = 1
-    f[5] = s.count("@") == 1
-    f[6] = bool(re.fullmatch(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", s))
-    f[7] = s.count(".") == 3
-    f[8] = bool(_IPISH.match(s))
-    f[9] = f[8] and all(int(p) <= 255 for p in s.split("."))
-    f[10] = s[:1] == "+"
-    f[11] = 10 <= n <= 15
-    f[12] = 14 <= n <= 19
-    f[13] = n < 7
-    f[14] = n > 19
-    f[15] = bool(f[12] and luhn("".join(digits)))
-    f[16] = n == size and n > 0
-    f[17] = bool(re.fullmatch(r"[0-9 -]+", s)) and n != size
-    f[18] = bool(re.fullmatch(r"\+?[0-9().\x20-]+", s))
-    f[19] = "(" in s and ")" in s
-    f[20] = any(c.isalpha() for c in s)
-    f[21] = size > 40
-    f[22] = bool(_CUE.search(text[max(0, start - 14) : start]))
-    f[23] = bool(f[11] and f[18] and f[10])
-    f[24] = bool(f[12] and f[18] and not f[15])
-    f[25] = bool(re.search(r"\.[A-Za-z]{2,6}\Z", s))
-    f[26] = "-" in s
-    f[27] = size == 0
+    f[min(tokens, MAX_TOKENS)] = 1
+    k = 1 + MAX_TOKENS
+    for step in _DIGIT_STEPS:
+        f[k] = n >= step
+        k += 1
+    before = text[max(0, start - 24) : start]
+    for cue in _CUES:
+        f[k] = bool(before) and cue.search(before) is not None
+        k += 1
+    ats = len(_AT.findall(s))
+    plain = _NOT_NUMBER.search(s) is None
+    domain = ats > 0 and _DOMAIN_END.search(s) is not None
+    four = len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups)
+    dots = plain and not any(c in s for c in " ()+/-")
+    sums = 13 <= n <= 19 and luhn("".join(groups))
+    rest = [
+        ats == 1,
+        ats > 1,
+        _DOT.search(s) is not None,
+        domain,
+        ats == 1 and domain and not _AT.match(s),
+        ats == 1 and not domain,
+        plain,
+        s[:1] == "+",
+        s[:1] == "(",
+        s[1:].count("+") > 0,
+        s.count("(") != s.count(")"),
+        four,
+        four and dots,
+        len(groups) == 4 and not four,
+        sums,
+        13 <= n <= 19 and not sums,
+        sums and plain and s[:1] not in "+(",
+        len(groups) == 1,
+        sizes[-2:] == [3, 4],
+        s[:1] == "+" and 10 <= n <= 15 and plain and not four,
+        plain and 10 <= n <= 11 and len(groups) >= 3 and sizes[-1] == 4,
+        plain and n < 10,
+        plain and n > 19,
+        set(sizes) == {4},
+        len(groups) > 6,
+        bool(s) and (s[0] in "-/)." or s[-1] in "-/(+."),
+        not s,
+    ]
+    f[k : k + len(rest)] = rest
     return f
 
 
-def _lattice(text: str, run: list[tuple[int, int]]):
-    """Per end token: candidate segments (first token, start, end, features)."""
-    out = []
-    for j in range(1, len(run) + 1):
-        out.append([(i, *span, span_features(text, *span, j - i)) for i in range(max(0, j - MAX_TOKENS), j) for span in (trimmed(text, run[i][0], run[j - 1][1]),)])
-    return out
+class Lattice:
+    """Candidate segments of a window, ordered by their last token, then by their first.
+
+    Segment x covers tokens first[x] to last[x] - 1; those that end with token
+    j are at[j - 1] : at[j].
+    """
+
+    def __init__(self, text: str, run: list[tuple[int, int]], weights: np.ndarray | None = None):
+        n = len(run)
+        lengths = np.minimum(np.arange(1, n + 1), MAX_TOKENS)
+        self.n, self.at = n, np.concatenate([[0], np.cumsum(lengths)]).tolist()
+        self.last = np.repeat(np.arange(1, n + 1), lengths)
+        self.first = self.last - (np.repeat(self.at[1:], lengths) - np.arange(len(self.last)))
+        self.spans = [trimmed(text, run[i][0], run[j - 1][1]) for i, j in zip(self.first.tolist(), self.last.tolist(), strict=True)]
+        self.features = self.scores = None
+        rows = (span_features(text, a, b, j - i) for (a, b), i, j in zip(self.spans, self.first.tolist(), self.last.tolist(), strict=True))
+        if weights is None:
+            self.features = np.stack(list(rows))
+        else:  # a block of feature rows at a time: a window of any length needs its scores only
+            self.scores = np.empty((len(self.last), len(KINDS)))
+            for k in range(0, len(self.last), 4096):
+                block = np.stack(list(itertools.islice(rows, 4096)))
+                self.scores[k : k + len(block)] = block @ weights.T
+
+    def sums(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log partition sums up to and from every token border; a token outside of segments scores 0."""
+        top = scores.max(axis=1)
+        whole = top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
+        alpha, beta = [0.0] * (self.n + 1), [0.0] * (self.n + 1)
+        first, whole, at = self.first.tolist(), whole.tolist(), self.at
+        for j in range(1, self.n + 1):
+            alpha[j] = _log_sum([alpha[j - 1], *(alpha[first[x]] + whole[x] for x in range(at[j - 1], at[j]))])
+        for i in range(self.n - 1, -1, -1):
+            ends = range(i + 1, min(self.n, i + MAX_TOKENS) + 1)
+            beta[i] = _log_sum([beta[i + 1], *(beta[j] + whole[at[j] - (j - i)] for j in ends)])
+        return np.array(alpha), np.array(beta)
+
+    def posteriors(self, scores: np.ndarray) -> np.ndarray:
+        alpha, beta = self.sums(scores)
+        return np.exp(alpha[self.first][:, None] + scores + beta[self.last][:, None] - alpha[-1])
+
+    def best(self, scores: np.ndarray) -> list[tuple[int, int]]:
+        """(segment, kind) of the best segmentation; of ties, the one with fewer and earlier entities."""
+        kinds = scores.argmax(axis=1).tolist()
+        tops, first, at = scores.max(axis=1).tolist(), self.first.tolist(), self.at
+        best, back = [0.0] * (self.n + 1), [-1] * (self.n + 1)
+        for j in range(1, self.n + 1):
+            best[j] = best[j - 1]
+            for x in range(at[j - 1], at[j]):
+                if best[first[x]] + tops[x] > best[j]:
+                    best[j], back[j] = best[first[x]] + tops[x], x
+        j, chosen = self.n, []
+        while j > 0:
+            if back[j] < 0:
+                j -= 1
+            else:
+                chosen.append((back[j], kinds[back[j]]))
+                j = first[back[j]]
+        return chosen[::-1]
 
 
 def _log_sum(x: list[float]) -> float:
     top = max(x)
-    return top + float(np.log(np.sum(np.exp(np.array(x) - top))))
-
-
-def _forward_backward(lattice, scores):
-    """Log partition sums up to and from every token border; scores[j][c] holds each type's score, 0 for outside."""
-    n = len(lattice)
-    alpha, beta = [0.0] + [0.0] * n, [0.0] * (n + 1)
-    for j in range(1, n + 1):
-        terms = [alpha[j - 1]]
-        for (i, *_), s in zip(lattice[j - 1], scores[j - 1], strict=True):
-            terms += [alpha[i] + x for x in s]
-        alpha[j] = _log_sum(terms)
-    for i in range(n - 1, -1, -1):
-        terms = [beta[i + 1]]
-        for j in range(i + 1, min(n, i + MAX_TOKENS) + 1):
-            for (k, *_), s in zip(lattice[j - 1], scores[j - 1], strict=True):
-                if k == i:
-                    terms += [x + beta[j] for x in s]
-        beta[i] = _log_sum(terms)
-    return alpha, beta
-
-
-def train(texts: list[str], rounds: int = 6, rate: float = 0.3, l2: float = 1e-3, max_windows: int = 1500) -> np.ndarray:
-    """Weights (types x features) by stochastic gradient ascent on the likelihood of the base spans."""
+    return top + math.log(sum(math.exp(y - top) for y in x))
+
+
+def _entity(rng: random.Random, kind: int) -> str:
+    """A made-up entity of a kind, in the layout of the base patterns."""
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    if kind == 0:
+        return f"{rng.choice('abcdefghij')}{rng.choice(['.', '_', ''])}{rng.choice(['smith', 'lee', 'ortiz', 'weber'])}{rng.choice(['', d(2)])}@{rng.choice(['mail', 'post', 'web'])}{rng.choice(['', d(1)])}.{rng.choice(['example', 'corp', 'uni'])}.{rng.choice(['com', 'org', 'net', 'de'])}"
+    if kind == 1:
+        return ".".join(str(rng.randrange(256)) for _ in range(4))
+    if kind == 2:
+        body = rng.choice("3456") + d(rng.choice([13, 14, 14, 14, 15]))
+        return next(body + c for c in "0123456789" if luhn(body + c))
+    return f"+{rng.randrange(1, 99)} ({d(3)}) {d(3)}-{d(4)}"
+
+
+def _varied(rng: random.Random, kind: int, s: str) -> str:
+    """The entity as people write it to other rules than the base patterns'."""
+    if kind == 0:
+        local, _, domain = s.partition("@")
+        o, c = rng.choice(["()", "[]", "{}"])
+        gap = rng.choice(["", " "])
+        return f"{local}{gap}{o}at{c}{gap}{domain.replace('.', f'{gap}{o}dot{c}{gap}') if rng.random() < 0.6 else domain}"
+    if kind == 2:
+        digits = re.sub(r"[^0-9]", "", s)
+        return rng.choice([".", "/", " - ", "  "]).join(digits[k : k + 4] for k in range(0, len(digits), 4))
+    if kind == 3:
+        parts = _GROUPS.findall(s)
+        return rng.choice([f"({parts[-3]}) {parts[-2]}-{parts[-1]}", "-".join(parts[-3:]), ".".join(parts[-3:]), "+" + "/".join(parts), "+" + ".".join(parts)]) if len(parts) >= 3 else s
+    return s
+
+
+def _other(rng: random.Random) -> str:
+    """A number that is no personal data."""
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    failing = next(x for x in iter(lambda: d(rng.choice([14, 15, 16, 16, 17, 18])), None) if not luhn(x))
+    choices = [str(rng.randrange(1900, 2100)), f"{d(1)}.{d(1)}", f"{d(1)}.{d(1)}.{d(2)}", f"20{d(2)}-0{d(1)}-1{d(1)}", f"{d(2)}:{d(2)}", f"{d(3)},{d(2)}", d(rng.randrange(1, 9)), d(rng.randrange(20, 30)), failing, failing, "-".join((failing[:4], failing[4:8], failing[8:12], failing[12:])), f"{d(2)}%", f"3{d(3)}.{d(3)}.{d(3)}.{d(2)}", f"{d(5)}-{d(4)}", f"a{d(2)}f{d(4)}c", f"({d(2)})", f"@{d(3)}"]
+    return rng.choice(choices)
+
+
+_FRAMES = (("", ""), ("und der ", " das von"), ("the ", " of the"), ("de la ", ", que"), ("call ", " or write"), ("x ", "."), ("(", ")"))
+
+
+def examples(texts: list[str], seed: int = 5, most_tokens: int = SAMPLE_TOKENS) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """(text, labelled spans) to train on.
+
+    The windows of ``texts``, whole, with their base spans as labels, up to
+    ``most_tokens`` tokens; and lines made of entities (found ones and made-up
+    ones) and other numbers, in layouts that the base patterns do not accept:
+    spelled-out marks, other separators, entities that touch each other.  Their
+    labels come from how the lines were made, not from the patterns.
+    """
+    rng = random.Random(seed)
+    pool: list[list[str]] = [[_entity(rng, k) for _ in range(60)] for k in range(len(KINDS))]
+    out, tokens = [], 0
+    for text in texts:
+        base = base_spans(text)
+        for a, k, b in base:
+            if len(pool[k]) < 400:
+                pool[k].append(text[a:b])
+        for run in windows(text):
+            if tokens + len(run) <= most_tokens:
+                tokens += len(run)
+                low, high = max(0, run[0][0] - 24), run[-1][1]
+                out.append((text[low:high], [(a - low, k, b - low) for a, k, b in base if run[0][0] <= a and b <= high]))
+    for _ in range(2400):
+        line, spans = rng.choice(_FRAMES)[0], []
+        for step in range(rng.choice([1, 1, 2, 2, 3])):
+            if step:
+                line += rng.choice([" ", " ", " ", ", ", " and "])
+            if rng.random() < 0.4:
+                line += _other(rng)
+            else:
+                k = rng.randrange(len(KINDS))
+                s = rng.choice(pool[k])
+                s = _varied(rng, k, s) if rng.random() < 0.5 else s
+                spans.append((len(line), k, len(line) + len(s)))
+                line += s
+        out.append((line + rng.choice(_FRAMES)[1], spans))
+    return out
+
+
+def train(texts: list[str], rounds: int = 10, rate: float = 0.2, l2: float = 1e-3) -> np.ndarray:
+    """Weights (types x features) by stochastic gradient ascent on the likelihood of the labelled segmentations of :func:`examples`."""
     weights = np.zeros((len(KINDS), N_FEATURES))
     data = []
-    for text in texts:
-        gold = {(a, b): k for a, k, b in base_spans(text)}
+    for text, spans in examples(texts):
+        want = {(a, b): k for a, k, b in spans}
         for run in windows(text):
-            if len(run) <= 40 and len(data) < max_windows:
-                lattice = _lattice(text, run)
-                data.append((lattice, [[gold.get((a, b)) for _, a, b, _ in ends] for ends in lattice]))
-    for r in range(rounds):
-        step = rate / (1 + r)
-        for lattice, gold in data:
-            scores = [[weights @ f for *_, f in ends] for ends in lattice]
-            alpha, beta = _forward_backward(lattice, scores)
-            total, change = alpha[-1], np.zeros_like(weights)
+            lattice = Lattice(text, run)
+            gold = np.zeros((len(lattice.last), len(KINDS)))
             taken = 0
-            for j, (ends, labels) in enumerate(zip(lattice, gold, strict=True), 1):
-                for (i, _, _, f), label, s in zip(ends, labels, scores[j - 1], strict=True):
-                    p = np.exp(alpha[i] + s + beta[j] - total)
-                    if label is not None and i >= taken:
-                        change[label] += f
-                        taken = j
-                    change -= np.outer(p, f)
-            weights += step * (change - l2 * weights)
+            for x, (span, i, j) in enumerate(zip(lattice.spans, lattice.first.tolist(), lattice.last.tolist(), strict=True)):
+                if span in want and i >= taken:
+                    gold[x, want[span]] = 1
+                    taken = j
+            data.append((lattice, gold))
+    order = np.random.default_rng(3)
+    for r in range(rounds):
+        for x in order.permutation(len(data)):
+            lattice, gold = data[x]
+            off = gold - lattice.posteriors(lattice.features @ weights.T)
+            weights += rate / (1 + r) * (off.T @ lattice.features - l2 * weights)
     return weights
 
 
 def decode(text: str, weights: np.ndarray) -> list[tuple[int, int, int, float]]:
-    """(start, kind, end, posterior) of the best segmentation's entities."""
+    """(start, kind, end, posterior) of the best segmentation's entities, window by window, each in one dynamic program."""
     out = []
     for run in windows(text):
-        for at in range(0, len(run), 2000):  # bounds the lattice in memory; blocks overlap by more than an entity
-            low = max(0, at - 4 * MAX_TOKENS)
-            part = run[low : at + 2000 + 4 * MAX_TOKENS]
-            lattice = _lattice(text, part)
-            scores = [[weights @ f for *_, f in ends] for ends in lattice]
-            best, back = [0.0], [None]
-            for j in range(1, len(part) + 1):
-                top, choice = best[j - 1], None
-                for (i, a, b, _), s in zip(lattice[j - 1], scores[j - 1], strict=True):
-                    k = int(np.argmax(s))
-                    if best[i] + s[k] > top:
-                        top, choice = best[i] + s[k], (i, a, b, k, s[k])
-                best.append(top), back.append(choice)
-            j, chosen = len(part), []
-            while j > 0:
-                if back[j] is None:
-                    j -= 1
-                else:
-                    chosen.append((*back[j], j))
-                    j = back[j][0]
-            if chosen:
-                alpha, beta = _forward_backward(lattice, scores)
-                out += [(a, k, b, float(np.exp(alpha[i] + s + beta[j] - alpha[-1]))) for i, a, b, k, s, j in chosen if at <= low + i < at + 2000]
+        lattice = Lattice(text, run, weights)
+        if chosen := lattice.best(lattice.scores):
+            sure = lattice.posteriors(lattice.scores)
+            out += [(lattice.spans[x][0], k, lattice.spans[x][1], float(sure[x, k])) for x, k in chosen]
     return sorted(out)
 
 
 def all_spans(text: str, weights: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and the CRF's further ones: sure enough, and overlapping no base span."""
     base = base_spans(text)
-    if not _TRIGGER.search(text):
+    if not _MARK.search(text):
         return base, []
     added, ends, k, reach = [], base, 0, 0
     for a, kind, b, p in decode(text, weights):
@@ -256,9 +405,9 @@ def all_spans(text: str, weights: np.ndarray) -> tuple[list[tuple[int, int, int]
 
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, text_col: str = "text") -> np.ndarray:
-    """Trains on at most ``sample_rows`` texts with a digit or @, taken by hash of the text, up to 20,000 characters each."""
-    rows = docs.select(F.col(text_col).cast("string").alias("t")).where("t rlike '[0-9@]' and length(t) <= 20000")
-    got = hash_sample(rows, sample_rows, "t").limit(sample_rows).collect()
+    """Trains on at most ``sample_rows`` whole texts with a digit or @, those of the least hashes."""
+    rows = docs.select(F.col(text_col).cast("string").alias("t")).where("t rlike '[0-9@]'")
+    got = hash_sample(rows, sample_rows, "t").orderBy(F.xxhash64("t"), "t").limit(sample_rows).collect()
     return train(sorted(r["t"] for r in got))
 
 
