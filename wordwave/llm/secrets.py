@@ -2,28 +2,29 @@
 
 Base patterns are reported wherever they match.  Weak candidates (key names'
 identifiers, bare tokens, endpoints) are reported only where complementary
-parts stand within the same scope: an interval join of the parts' scopes, done
-as range frames over the parts of a text ordered by position.
+parts stand within their scope: an interval join of the parts of a text, whole
+intervals widened by the scope, over buckets of positions.  It also says which
+identifier, secret and endpoint go together.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Characters around a part in which its complements count.
+#: Characters before and after a part in which its complements count.
 SCOPE = 400
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # the runs of AKIA[A-Z0-9]+ that have 18 characters or more
 HEX = r"[0-9a-f]{16,}"  # the runs of [0-9a-f]+ that have 16 characters or more
 KEY_ID = r"""(?i:(?:access[_-]?key[_-]?id|client[_-]?id|account[_-]?id|user(?:name)?|login))["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{4,}"""
-TOKEN = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/_-]{0,80}[0-9])[A-Za-z0-9+/_-]{24,80}(?![A-Za-z0-9+/=_-])"
+TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{24,}+={0,2}+(?![A-Za-z0-9+/=_-])"  # of any length, with padding
 ENDPOINT = r"""(?i:https?|wss?|postgres(?:ql)?|mysql|redis|mongodb|amqp)://[^\s"'<>]{4,}"""
 KINDS = ("assign", "access", "hex", "key_id", "weak_secret", "endpoint")
+ROLES = ("secret", "identifier", "secret", "identifier", "secret", "endpoint")  # of the kinds
 _BLOCK = 256
 
 
@@ -58,7 +59,7 @@ def _spans(steps: Column, kind: int) -> Column:
 
 
 def base_and_weak(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, doc_id, base, weak): arrays of located base spans and of weak candidates."""
+    """(doc_id, key, key2, base, weak): arrays of located base spans and of weak candidates; the keys are hashes of id and text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.withColumn("low", F.lower("text"))
@@ -78,48 +79,75 @@ def base_and_weak(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.when(url, F.regexp_extract_all("text", F.lit(ENDPOINT), F.lit(0))).otherwise(none).alias("m5"),
     )
     patterns = (ASSIGN, ACCESS, HEX, KEY_ID, TOKEN, ENDPOINT)
-    rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "v0", *(located(F.col("text"), p, F.col(f"m{k}"), KINDS[k]).alias(f"g{k}") for k, p in enumerate(patterns)))
-    rows = rows.select("doc_id", "key", "v0", *(_spans(F.col(f"g{k}"), k).alias(f"s{k}") for k in range(6)))
+    rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.xxhash64("text", "doc_id").alias("key2"), "v0", *(located(F.col("text"), p, F.col(f"m{k}"), KINDS[k]).alias(f"g{k}") for k, p in enumerate(patterns)))
+    rows = rows.select("doc_id", "key", "key2", "v0", *(_spans(F.col(f"g{k}"), k).alias(f"s{k}") for k in range(6)))
     strong = F.filter(F.col("s0"), lambda x, i: F.length(F.get(F.col("v0"), i)) >= 12)
     short = F.transform(F.filter(F.col("s0"), lambda x, i: F.length(F.get(F.col("v0"), i)).between(6, 11)), lambda x: F.struct(x["start"], F.lit(4).alias("kind"), x["end"]))
-    return rows.select("doc_id", "key", F.concat(strong, "s1", "s2").alias("base"), F.concat(short, "s3", "s4", "s5").alias("weak"))
+    return rows.select("doc_id", "key", "key2", F.concat(strong, "s1", "s2").alias("base"), F.concat(short, "s3", "s4", "s5").alias("weak"))
 
 
-def linked_weak(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """(key, start, kind, end) of the weak parts whose complements lie within ``scope`` characters.
+def linked_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """Parts (key, key2, start, kind, end) that have complements, with the nearest part of every other role in scope.
 
-    An identifier (access, key_id) needs a secret; a weak secret needs an
+    Columns identifier, secret and endpoint are structs (gap, start, kind, end),
+    null where none is in scope; of equally near ones the earlier counts.  Two
+    parts are in scope if at most ``scope`` characters lie between them, whole
+    intervals counted.  An identifier needs a secret; a secret needs an
     identifier or an endpoint; an endpoint needs an identifier and a secret.
-    Each range frame holds the parts that begin within the scope, and those of
-    the text alone; equal parts of repeated rows count once in the result.
+
+    The join is on text and bucket of positions: a part is in the buckets that
+    it touches, and looks in those that its widened interval touches; a pair
+    counts in the first bucket that both are in.  Parts of a kind do not
+    overlap, so a text's pairs are in proportion to its length.
     """
-    near = W.partitionBy("key").orderBy("start").rangeBetween(-scope, scope)
-    has = lambda *kinds: F.max(F.col("kind").isin(*kinds)).over(near)
-    seen = parts.withColumns({"identifier": has(1, 3), "secret": has(0, 2, 4), "endpoint": has(5)})
-    return seen.where(
-        "kind >= 3 and case kind when 3 then secret when 4 then identifier or endpoint else identifier and secret end"
-    ).select("key", "start", "kind", "end")
+    role = F.element_at(F.array(*(F.lit(r) for r in ROLES)), F.col("kind") + 1)
+    rows = parts.select("key", "key2", "start", "kind", "end", role.alias("role"))
+    width = 2 * scope + 1
+    bucket = lambda x: F.floor(x / width)
+    here = rows.withColumns({"low": bucket(F.col("start") - scope), "high": bucket(F.col("end") + scope)})
+    here = here.withColumn("bucket", F.explode(F.sequence("low", "high")))
+    there = rows.select("key", "key2", *(F.col(c).alias(f"{c}_2") for c in ("start", "kind", "end", "role")))
+    there = there.withColumns({"low_2": bucket(F.col("start_2"))}).withColumn("bucket", F.explode(F.sequence("low_2", bucket(F.col("end_2")))))
+    gap = F.greatest(F.col("start_2") - F.col("end"), F.col("start") - F.col("end_2"), F.lit(0))
+    pairs = here.join(there, ["key", "key2", "bucket"]).where((F.col("role") != F.col("role_2")) & (gap <= scope) & (F.col("bucket") == F.greatest("low", "low_2")))
+    other = F.struct(gap.alias("gap"), F.col("start_2").alias("start"), F.col("kind_2").alias("kind"), F.col("end_2").alias("end"))
+    found = pairs.groupBy("key", "key2", "start", "kind", "end", "role").agg(*(F.min(F.when(F.col("role_2") == r, other)).alias(r) for r in ("identifier", "secret", "endpoint")))
+    complete = {"identifier": F.col("secret").isNotNull(), "secret": F.col("identifier").isNotNull() | F.col("endpoint").isNotNull(), "endpoint": F.col("identifier").isNotNull() & F.col("secret").isNotNull()}
+    test = F.lit(False)
+    for r, needs in complete.items():
+        test = test | ((F.col("role") == r) & needs)
+    return found.where(test).drop("role")
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
-    """(doc_id, base, linked): base spans and linked weak spans of every whole text, ordered by start, then kind.
+    """(doc_id, base, linked, links): base spans, linked weak spans, and who goes with whom, of every whole text, ordered by start, then kind.
 
     Spans are structs (start, kind, end) in code points, end exclusive, kind a
-    place in :data:`KINDS`.  Null and empty texts have none; repeated rows and
+    place in :data:`KINDS`.  ``links`` holds every part with complements, base
+    or weak, with the nearest identifier, secret and endpoint in scope.  Null and empty texts have none; repeated rows and
     null ids are kept; a weak part that a base span covers is not repeated;
     other columns are ignored; an empty table gives an empty result.
 
     Scale: texts are matched where they are read and never shuffled; the spans
-    are written once, and only texts with parts of two kinds reach the window,
-    keyed by id and text.
+    are written once, and only parts of texts with two of them or more reach
+    the join, keyed by text and position.
     """
     kept = materialise(base_and_weak(docs, id_col, text_col))
-    both = F.concat("base", "weak")
-    parts = kept.where("size(weak) > 0 and size(base) + size(weak) > 1").select("key", F.explode(both).alias("p")).select("key", "p.start", "p.kind", "p.end").distinct()
-    linked = linked_weak(parts, scope).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end"))).alias("found"))
-    joined = kept.join(linked, "key", "left")
-    outside = F.filter(F.coalesce("found", F.array().cast("array<struct<start:long,kind:int,end:long>>")), lambda w: ~F.exists("base", lambda b: (b["start"] <= w["start"]) & (b["end"] >= w["end"])))
-    return joined.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(outside).alias("linked"))
+    parts = kept.where("size(base) + size(weak) > 1").select("key", "key2", F.explode(F.concat("base", "weak")).alias("p")).select("key", "key2", "p.start", "p.kind", "p.end").distinct()
+    near = F.struct("start", "kind", "end", "identifier", "secret", "endpoint")
+    linked = linked_parts(parts, scope).groupBy("key", "key2").agg(F.array_sort(F.collect_list(near)).alias("found"))
+    joined = kept.join(linked, ["key", "key2"], "left")
+    span = "array<struct<start:long,kind:int,end:long>>"
+    weak = F.transform(F.filter("found", lambda w: w["kind"] >= 3), lambda w: F.struct(w["start"], w["kind"], w["end"]))
+    outside = F.filter(F.coalesce(weak, F.array().cast(span)), lambda w: ~F.exists("base", lambda b: (b["start"] <= w["start"]) & (b["end"] >= w["end"])))
+    return joined.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(outside).alias("linked"), F.coalesce("found", F.array()).alias("links"))
+
+
+def links_text(links: Column) -> Column:
+    """``part>partner+partner`` of each link, comma-joined, every one as ``kind:start:end``."""
+    names = F.array(*(F.lit(k) for k in KINDS))
+    one = lambda s: F.when(s.isNotNull(), F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string")))
+    return F.array_join(F.transform(links, lambda s: F.concat(one(s), F.lit(">"), F.concat_ws("+", one(s["identifier"]), one(s["secret"]), one(s["endpoint"])))), ",")
 
 
 def spans_text(spans: Column) -> Column:
