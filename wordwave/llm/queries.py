@@ -49,7 +49,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     remainder = F.crc32(F.col("doc_id").cast("string")) % 5
-    model = toxicity.fit(docs, labels.where(remainder != 0).select("doc_id", "toxic"))
+    model = toxicity.fit(docs.where(remainder != 0), labels.where(remainder != 0).select("doc_id", "toxic"))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -76,7 +76,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.secret_spans(read_table(spark, sf_dir, "documents"))
     counts = (_of_kind("base", k).alias(f"n_{secrets.KINDS[k]}") for k in range(3))
-    return found.select("doc_id", *counts, F.sha2(secrets.spans_text(F.col("base")), 256).alias("base_sha256"), secrets.spans_text(F.array_sort(F.concat("base", "linked"))).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(secrets.spans_text(F.col("base")), 256).alias("base_sha256"), secrets.spans_text(F.array_sort(F.concat("base", "linked"))).alias("spans"), secrets.links_text(F.col("links")).alias("links"))
 
 
 QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_pii, op3_chat_format, op4_decontaminate, op5_toxicity, op6_sentencepiece, op7_quality, op8_html, op9_media, op10_secrets)}
