@@ -57,7 +57,9 @@ def canonical_turns(record) -> tuple[str, list[tuple[str, str]] | None]:
     """Fingerprint and (role, text) turns of a record; None where no mapping knows its layout.
 
     Fields that no mapping names are ignored: a record without its own mapping
-    takes the one with the most paths that it has.  Null roles and texts are empty.
+    takes the one with the most paths that it has.  Null roles and texts are
+    empty, other values that are no text stand as JSON; turns are ordered by
+    number, then by text, then other values, nulls last.
     """
     found = paths(record)
     print_ = fingerprint(found)
@@ -66,11 +68,13 @@ def canonical_turns(record) -> tuple[str, list[tuple[str, str]] | None]:
         return print_, None
     if "list" in layout:
         name, role, text = layout["list"]
+        if not isinstance(record.get(name), list):  # a field whose name looks like a path
+            return print_, None
         turns = [x for x in record[name] if isinstance(x, dict)]
         if "order" in layout:
-            turns.sort(key=lambda x: (x.get(layout["order"]) is None, x.get(layout["order"]) or 0, x.get(role) or "", x.get(text) or ""))
+            turns.sort(key=lambda x: (*_rank(x.get(layout["order"])), _text(x.get(role)), _text(x.get(text))))
         rename = ROLE_NAMES if name == "conversations" else {}
-        return print_, [(rename.get(x.get(role), x.get(role)) or "", _text(x.get(text))) for x in turns]
+        return print_, [(rename.get(r := _text(x.get(role)), r), _text(x.get(text))) for x in turns]
     out = []
     for role, names in layout["fields"]:
         text = "\n".join(_text(record[n]) for n in names if record.get(n) is not None)
@@ -78,6 +82,13 @@ def canonical_turns(record) -> tuple[str, list[tuple[str, str]] | None]:
     return print_, out
 
 
+def _rank(value) -> tuple:
+    """Sort key of a turn's place: numbers, then texts, then other values by their JSON, then nulls."""
+    if isinstance(value, (int, float)) and value == value:
+        return (0, value, "")
+    return (1, 0, value) if isinstance(value, str) else (3, 0, "") if value is None else (2, 0, _text(value))
+
+
 def _text(value) -> str:
     return value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
 
@@ -160,7 +171,8 @@ def format_records(records: DataFrame) -> DataFrame:
     """(conv_id, layout, formatted, loss_spans) of a table (conv_id, record JSON).
 
     ``layout`` is the schema fingerprint; a record that is null, no JSON
-    object, or of an unknown layout keeps its row with null formatted text.
+    object, nested too deeply to be read (layout null too), or of an unknown
+    layout keeps its row with null formatted text.
     Repeated rows and null ids are kept, empty texts are turns of their own,
     fields that no mapping names are ignored, an empty table gives an empty
     result.  One pass without a shuffle.
@@ -172,9 +184,9 @@ def format_records(records: DataFrame) -> DataFrame:
         for raw in batch.column(1).to_pylist():
             try:
                 record = json.loads(raw) if raw is not None else None
-            except ValueError:
-                record = None
-            print_, turns = canonical_turns(record) if isinstance(record, dict) else (None, None)
+                print_, turns = canonical_turns(record) if isinstance(record, dict) else (None, None)
+            except (ValueError, RecursionError):
+                print_, turns = None, None
             text, spans = render(turns) if turns is not None else (None, None)
             prints.append(print_), texts.append(text), masks.append(spans and [{"begin": a, "end": b} for a, b in spans])
         kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
