@@ -13,6 +13,7 @@ candidate passes, and the pass gives the library's own result.
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from itertools import chain
@@ -95,18 +96,31 @@ class Model:
         self.ending = {k: tuple(sorted(v | {n for n in (1, 2) if n < len(k) and k[-n:] in lengths}, reverse=True)) for k, v in lengths.items()}
 
     def merge(self, text: str) -> list[int]:
-        """Pieces by repeated merging of the best-scored neighbours (first among equals): the plain definition of BPE."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                k = self.vocabulary.get(parts[i] + parts[i + 1])
-                if k is not None and (best is None or self.scores[k] > best):
-                    best, at = self.scores[k], i
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.vocabulary.get(p, ~ord(p)) if len(p) == 1 else self.vocabulary[p] for p in parts]
+        """Pieces by repeated merging of the best-scored neighbours (first among equals): the plain definition of BPE.
+
+        Neighbours that can merge wait in a heap, so that a long run costs its
+        length times a logarithm.
+        """
+        get, scores, n = self.vocabulary.get, self.scores, len(text)
+        ends, nexts, befores = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(-scores[k], i, i + 1, i + 2) for i in range(n - 1) if (k := get(text[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, middle, end = heapq.heappop(heap)
+            if ends[i] != middle or middle >= n or ends[middle] != end:
+                continue  # one of the two has been merged since
+            ends[i], ends[middle], nexts[i] = end, -1, nexts[middle]
+            if nexts[i] < n:
+                befores[nexts[i]] = i
+                if (k := get(text[i : ends[nexts[i]]])) is not None:
+                    heapq.heappush(heap, (-scores[k], i, end, ends[nexts[i]]))
+            if (j := befores[i]) >= 0 and (k := get(text[j:end])) is not None:
+                heapq.heappush(heap, (-scores[k], j, i, end))
+        out, i = [], 0
+        while i < n:
+            out.append(self.vocabulary.get(text[i], ~ord(text[i])) if ends[i] == i + 1 else self.vocabulary[text[i : ends[i]]])
+            i = nexts[i]
+        return out
 
     def _halves(self) -> None:
         """The two pieces that each piece's last merge joins; None for characters and for pieces that merging never makes."""
@@ -232,17 +246,15 @@ def encode_decode(docs: DataFrame, model_bytes: bytes, id_col: str = "doc_id", t
     ``decoded_ok`` says that decoding the ids gives the text again (U+2581 in a
     text comes back as a space, as in the library).  Null and empty texts have
     no pieces; repeated rows and null ids are kept; other columns, also such as
-    are named n_tokens or ids, are ignored unless in ``keep``; an empty table
+    are named n_tokens or ids, are ignored unless in ``keep``; of these, the ones
+    named as a result are replaced by it; an empty table
     gives an empty result.  One pass without a shuffle; the model file (half a
     megabyte) is sent to the executors, and a worker's cache of words is
     bounded.
     """
     session_for(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model_bytes)
-    kept = [c for c in docs.columns if c in keep]
-    clash = {"n_tokens", "ids", "decoded_ok"} & set(kept)
-    if clash:
-        raise ValueError(f"columns to keep clash with the result: {sorted(clash)}")
+    kept = [c for c in docs.columns if c in keep and c not in ("n_tokens", "ids", "decoded_ok")]
     names = ["doc_id"] + [c for c in kept if c not in ("doc_id", "__text")]
     rows = docs.select(*(F.col(id_col).cast("long").alias("doc_id") if c == "doc_id" else F.col(c) for c in names), F.col(text_col).cast("string").alias("__text"))
     n_names = len(names)
