@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_map, hashed_words, materialise, mix, release_worker_state, session_for, shingle_hashes, text_slices, without_ids
+from .common import arrow_map, discard, hashed_words, materialise, mix, release_worker_state, session_for, shingle_hashes, text_slices, without_ids
 from .components import connected_components
 
 #: A join side up to this many rows (of two longs) may be broadcast; beyond, it is shuffled.
@@ -544,7 +544,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     partitions = _partitions(docs)
     signed = arrow_map(texts.select("text"), _signature_rows(width, threshold), "place long, node long, sig long")
     shared = signed.repartition(partitions, "place").sortWithinPartitions("place", "sig", "node").mapInArrow(_shared, "sig long, node long").distinct()
-    kept = materialise(_kept_signatures(materialise(shared), nodes))
+    shared = materialise(shared)
+    kept = materialise(_kept_signatures(shared, nodes))
+    discard(shared)
     # every node against the least of each of its signatures
     heads = kept.groupBy("sig").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("m")).where("m > 1").select("sig", "b")
     pairs = kept.join(heads, "sig").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
@@ -553,11 +555,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # signatures that still hold nodes of different components: first which nodes have an allowed partner, then these alone, verified
     placed = materialise(kept.join(nodes.select("node", "n"), "node").join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"), "n"))
+    discard(kept)
     dealt = _dealt(placed, _open_groups(placed, F.lit(1), BLOCK_ROWS), nodes, "parity", partitions)
     open_ = materialise(dealt.mapInArrow(_open_rows(threshold), "sig long, node long").distinct())
     if not open_.isEmpty():
         sets = materialise(arrow_map(_owned(open_.select("node").distinct(), nodes, texts), _set_rows(width), "node long, n long, elements binary"))
-        placed = materialise(placed.join(_small(open_), ["sig", "node"], "left_semi"))
+        every, placed = placed, materialise(placed.join(_small(open_), ["sig", "node"], "left_semi"))
+        discard(every)
         dealt = _dealt(placed, _open_groups(placed, 8 * F.col("n"), BLOCK_BYTES), sets, "elements", partitions)
         more = materialise(dealt.mapInArrow(_forest(threshold), "a long, b long").distinct())
         if not more.isEmpty():
