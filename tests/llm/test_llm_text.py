@@ -1,9 +1,12 @@
 """Operators on texts against brute force, with nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
 
 import hashlib
+import json
 import random
 import re
+import time
 import zlib
+from itertools import chain
 
 import numpy as np
 import pytest
@@ -196,20 +199,70 @@ def test_base_spans_match_brute_force():
         assert pii.base_spans(t) == pii_brute(t), t
 
 
+def segmentations(lattice, scores):
+    """All (segments with kinds, score) of a window."""
+    found = {0: [((), 0.0)]}
+    for j in range(1, lattice.n + 1):
+        found[j] = list(found[j - 1])
+        for x in range(lattice.at[j - 1], lattice.at[j]):
+            found[j] += [((*c, (x, k)), t + s) for c, t in found[int(lattice.first[x])] for k, s in enumerate(scores[x].tolist())]
+    return found[lattice.n]
+
+
 def test_semi_markov_decoding_is_exact():
-    """The dynamic program finds the best segmentation and the right partition sum."""
+    """The dynamic program finds the best segmentation, the right partition sum and the right posteriors."""
     rng = np.random.default_rng(5)
-    text = "call +1 (706) 555-3138 4644 3483 9801 0899 a@b.co"
+    text = "call +1 (706) 555-3138 4644 3483 a@b.co"
     weights = rng.normal(size=(len(pii.KINDS), pii.N_FEATURES))
     for run in pii.windows(text):
-        lattice = pii._lattice(text, run)
-        scores = [[weights @ f for *_, f in ends] for ends in lattice]
-        totals = {0: [0.0]}
-        for j in range(1, len(run) + 1):
-            totals[j] = list(totals[j - 1]) + [x + s for (i, *_), y in zip(lattice[j - 1], scores[j - 1], strict=True) for x in totals[i] for s in y]
-        every = np.array(totals[len(run)])
-        alpha, beta = pii._forward_backward(lattice, scores)
-        assert alpha[-1] == pytest.approx(np.log(np.exp(every).sum())) and beta[0] == pytest.approx(alpha[-1])
+        lattice = pii.Lattice(text, run, weights)
+        every = segmentations(lattice, lattice.scores)
+        alpha, beta = lattice.sums(lattice.scores)
+        total = np.log(np.exp([t for _, t in every]).sum())
+        assert alpha[-1] == pytest.approx(total) and beta[0] == pytest.approx(total)
+        best = max(every, key=lambda e: e[1])[0]
+        assert tuple(lattice.best(lattice.scores)) == best
+        sure = lattice.posteriors(lattice.scores)
+        for x, k in best:
+            assert sure[x, k] == pytest.approx(sum(np.exp(t - total) for c, t in every if (x, k) in c))
+
+
+def test_long_windows_are_decoded_whole():
+    """Any part of a long window between sure borders is decoded as it would be alone."""
+    rng = np.random.default_rng(2)
+    weights = rng.normal(size=(len(pii.KINDS), pii.N_FEATURES))
+    tokens = [str(rng.integers(0, 10 ** int(rng.integers(1, 18)))) for _ in range(5000)]
+    text = " ".join(tokens)
+    (run,) = pii.windows(text)
+    assert len(run) == 5000
+    lattice = pii.Lattice(text, run, weights)
+    whole = pii.Lattice(text, run)
+    assert np.allclose(whole.features @ weights.T, lattice.scores)
+    got = pii.decode(text, weights)
+    assert all(a[2] <= b[0] for a, b in zip(got, got[1:]))
+    best = [0.0]
+    for j in range(1, 5001):
+        best.append(max([best[-1]] + [best[int(lattice.first[x])] + lattice.scores[x].max() for x in range(lattice.at[j - 1], lattice.at[j])]))
+    assert sum(lattice.scores[x, k] for x, k in lattice.best(lattice.scores)) == pytest.approx(best[-1])
+
+
+def test_features_see_whole_segments():
+    long, short = "a" * 300 + "@example.com", "a@example.com"
+    assert (pii.span_features(long, 0, len(long), 1) == pii.span_features(short, 0, len(short), 1)).all()
+
+
+def test_model_finds_what_the_patterns_miss():
+    """On held-out lines: layouts and contacts that the base patterns do not accept."""
+    weights = pii.train([])
+    hits = wrong = missed = 0
+    for text, spans in pii.examples([], seed=99):
+        base, added = pii.all_spans(text, weights)
+        want = {s for s in spans if s not in base and not any(a < s[2] and b > s[0] for a, _, b in base)}
+        hits, wrong, missed = hits + len(want & set(added)), wrong + len(set(added) - want), missed + len(want - set(added))
+    assert hits > 600 and wrong <= 0.01 * hits and hits > 1.5 * missed
+    found = lambda t: [(pii.KINDS[k], t[a:b]) for a, k, b in pii.all_spans(t, weights)[1]]
+    assert found("rg +1 (826) 555-4081 190.137.223.204 du") == [("phone", "+1 (826) 555-4081")]
+    assert found("number 4111 1111 1111 1112 of 2019, version 2.0.1") == []
 
 
 def test_personal_data(spark):
@@ -250,12 +303,20 @@ def test_layouts(spark):
         '{"question":"a","answer":"b"}',
         '{"prompt":"a","completion":"b"}',
     ]
-    odd = [None, "", "[1]", '{"x":1}', '{"messages":[]}']
+    odd = [None, "", "[1]", '{"x":1}', '{"messages":[]}', '{"messages[]":{"role":"a","content":"b"}}', '{"prompt":' * 5000 + "1" + "}" * 5000]
     df = spark.createDataFrame([(i, r, "c") for i, r in enumerate(records + odd)], "conv_id long, record string, layout string")
     got = collected(chat.format_records(df), "conv_id")
     assert {got[i].formatted for i in range(6)} == {"<s>[INST] user\na [/INST]b</s>"}
     assert len({got[i].layout for i in range(6)}) == 6
-    assert all(got[6 + k].formatted is None for k in range(5))
+    assert all(got[6 + k].formatted is None for k in range(len(odd)))
+    mixed = [
+        '{"messages":[{"role":5,"content":"a"},{"role":["x"],"content":{"y":1}}]}',
+        '{"messages":[{"role":"c","text":"3","turn":null},{"role":"b","text":"2","turn":"z"},{"role":"d","text":"4","turn":[1]},{"role":"a","text":"1","turn":2},{"role":"e","text":"0","turn":NaN}]}',
+        '{"conversations":[{"from":["human"],"value":null},{"from":7,"value":true}]}',
+    ]
+    turns = [chat.parse(chat.render(chat.canonical_turns(json.loads(r))[1])[0]) for r in mixed]
+    assert turns[0] == [("5", "a"), ('["x"]', '{"y": 1}')]
+    assert [t for _, t in turns[1]] == ["1", "2", "0", "4", "3"] and turns[2] == [('["human"]', ""), ("7", "true")]
     assert chat.format_records(df.limit(0)).count() == 0
 
 
@@ -287,11 +348,25 @@ def test_pieces_match_the_library(spark):
         t = "null id" if r.doc_id is None else (texts[r.doc_id] if r.doc_id < 5000 else "")
         assert r.ids == library.encode(t) and r.decoded_ok and r.n_tokens == len(r.ids) and r.node == "x"
     assert sentencepiece_trie.encode_decode(docs(spark, []), model).count() == 0
+    clash = docs(spark, rows[:3]).selectExpr("doc_id", "text", "n n_tokens", "node ids", "true decoded_ok", "spans")
+    kept = sentencepiece_trie.encode_decode(clash, model, keep=tuple(clash.columns))
+    assert kept.columns == ["doc_id", "text", "spans", "n_tokens", "ids", "decoded_ok"] and [len(r.ids) == r.n_tokens for r in kept.collect()] == [True] * 3
     m = sentencepiece_trie.Model(model)
     for t in texts[:80]:
         assert m.decode(library.encode(t)) == library.decode(library.encode(t))
 
 
+def test_long_runs_of_marks():
+    library = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=MODEL)
+    with open(MODEL, "rb") as f:
+        m = sentencepiece_trie.Model(f.read())
+    for text in (" " * 1000, " " * 37 + "hello" + " " * 400, "a" + "  " * 333 + "b"):
+        assert list(chain.from_iterable(m.encode_words([w])[w] for w in m.units(text))) == library.encode(text)
+    began = time.time()
+    (word,) = m.units(" " * 100_000)
+    assert len(m.encode_words([word])[word]) < 20_000 and time.time() - began < 10
+
+
 def test_unigram_viterbi_is_best():
     m = sentencepiece_trie.Model.__new__(sentencepiece_trie.Model)
     m.pieces = ["<unk>", "▁", "a", "b", "ab", "ba", "▁a", "aba"]
@@ -364,6 +439,22 @@ def test_secret_base_spans(spark):
     assert secrets.secret_spans(docs(spark, [])).count() == 0
 
 
+def linked_brute(own, scope):
+    """Parts (start, kind, end) with the nearest part of every other role in scope, where their complements are there."""
+    out = []
+    for p in own:
+        near = {}
+        for q in own:
+            gap = max(q[0] - p[2], p[0] - q[2], 0)
+            r = secrets.ROLES[q[1]]
+            if r != secrets.ROLES[p[1]] and gap <= scope:
+                near[r] = min(near.get(r, (gap, *q)), (gap, *q))
+        need = {"identifier": "secret" in near, "secret": bool(near), "endpoint": len(near) == 2}
+        if need[secrets.ROLES[p[1]]]:
+            out.append((*p, *(near.get(r) for r in ("identifier", "secret", "endpoint"))))
+    return sorted(out, key=str)
+
+
 def test_weak_parts_need_complements(spark):
     far = " word" * 200
     rows = [
@@ -372,20 +463,32 @@ def test_weak_parts_need_complements(spark):
         (3, "username: bob77" + far + " password=short77"),
         (4, "username: bob77 token=abcdefghijkl99"),
         (5, "tail Zx9Zx9Zx9Zx9Zx9Zx9Zx9Zx9 alone"),
+        (6, "login: bob77 " + "aB3/" * 50 + "=="),
+        (7, "username: bob77 https://a.example.com/" + "x" * 900 + " key Zx9Zx9Zx9Zx9Zx9Zx9Zx9Zx9"),
     ]
     got = collected(secrets.secret_spans(docs(spark, rows)))
     names = {i: sorted(secrets.KINDS[s["kind"]] for s in r.linked) for i, r in got.items()}
-    assert names == {1: [], 2: ["endpoint", "key_id", "weak_secret"], 3: [], 4: ["key_id"], 5: []}
-    # brute force of the scope rule
-    parts = spark.createDataFrame([(1, k * 37 % 1000, k % 6, k * 37 % 1000 + 5) for k in range(40)], "key long, start long, kind int, end long")
-    own = [tuple(r) for r in parts.collect()]
-
-    def linked(p):
-        near = {q[2] for q in own if abs(q[1] - p[1]) <= 90}
-        identifier, secret, endpoint = bool(near & {1, 3}), bool(near & {0, 2, 4}), 5 in near
-        return {3: secret, 4: identifier or endpoint, 5: identifier and secret}.get(p[2], False)
-
-    assert sorted(tuple(r) for r in secrets.linked_weak(parts, 90).collect()) == sorted(p for p in own if linked(p))
+    # of 7, the endpoint's end is near the secret, its start near the identifier; these two are far apart
+    assert names == {1: [], 2: ["endpoint", "key_id", "weak_secret"], 3: [], 4: ["key_id"], 5: [], 6: ["key_id", "weak_secret"], 7: ["endpoint", "weak_secret"]}
+    assert {(s["start"], s["end"]) for s in got[6].linked} == {(0, 12), (13, 215)}
+    assert [(x["kind"], x["identifier"] and x["identifier"]["kind"], x["secret"] and x["secret"]["kind"]) for x in got[4].links] == [(3, None, 0), (0, 3, None)]
+
+
+def test_links_match_brute_force(spark):
+    rng = random.Random(4)
+    for scope in (9, 90):
+        texts = {}
+        for key in range(6):
+            at, own = 0, []
+            for _ in range(rng.choice([1, 5, 60])):
+                at += rng.choice([1, 7, 30, 300])
+                own.append((at, rng.randrange(6), at + rng.choice([5, 20, 400])))
+            texts[key] = own
+        parts = spark.createDataFrame([(k, -k, *p) for k, own in texts.items() for p in own], "key long, key2 long, start long, kind int, end long")
+        got = {}
+        for r in secrets.linked_parts(parts, scope).collect():
+            got.setdefault(r.key, []).append((r.start, r.kind, r.end, *(x and tuple(x) for x in (r.identifier, r.secret, r.endpoint))))
+        assert {k: sorted(v, key=str) for k, v in got.items()} == {k: v for k, own in texts.items() if (v := linked_brute(own, scope))}
 
 
 def test_secrets_stay_in_the_jvm(spark):
