@@ -7,7 +7,7 @@ from wordwave.plans import catalogue
 
 from conftest import DATA
 
-SLOW = {"words_two_way_segmentation", "gbt_classify"}
+SLOW = {"gbt_classify"}  # has a test of its own
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))

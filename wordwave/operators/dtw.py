@@ -29,13 +29,18 @@ def dtw_matrix(a, b) -> np.ndarray:
 
 
 def dtw_path(a, b) -> list[tuple[int, int]]:
-    """The warping path, first pair first; equal neighbours prefer the diagonal."""
+    """The warping path, first pair first.  Of equal neighbours the one above wins, then the one on the left; if all three are equal, the diagonal."""
     d = dtw_matrix(a, b)
     i, j, path = len(a), len(b), []
     while i > 0 and j > 0:
         path.append((i - 1, j - 1))
-        steps = {(i - 1, j - 1): d[i - 1, j - 1], (i - 1, j): d[i - 1, j], (i, j - 1): d[i, j - 1]}
-        i, j = min(steps, key=steps.get)
+        above, left, corner = d[i - 1, j], d[i, j - 1], d[i - 1, j - 1]
+        if above == left == corner or corner < min(above, left):
+            i, j = i - 1, j - 1
+        elif above <= left:
+            i -= 1
+        else:
+            j -= 1
     return path[::-1]
 
 
@@ -105,6 +110,32 @@ def segment_dtw(a: Column, b: Column) -> Column:
     return dtw(a, b)
 
 
+def dependent_dtw(a: Column, b: Column) -> Column:
+    """Warping of two array columns of structs (one field for each variable): all variables warp together, the distance is the root of the summed squares."""
+    return F.sqrt(dtw(a, b))
+
+
+def as_steps(features: Column, steps: int, variables: int) -> Column:
+    """A flat array of steps x variables as an array of structs of the variables."""
+    values = lambda k: F.slice(features, k * variables + 1, variables)
+    return F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: F.struct(*(F.get(values(k), F.lit(v)).cast("double").alias(f"v{v}") for v in range(variables))))
+
+
+def dependent_matrix(queries: DataFrame, references: DataFrame, steps: int, variables: int) -> DataFrame:
+    """(a, b, distance): dependent warping distances of rows (object_id, features: a flat array) to every other row and themselves (0).
+
+    The matrix is symmetric: of two queries each pair is warped once and given twice.
+    """
+    own = queries.select(F.col("object_id").alias("b"), F.lit(True).alias("asked"))
+    x = queries.select("object_id", F.lit("all").alias("band"), as_steps(F.col("features"), steps, variables).alias("values"))
+    y = references.select("object_id", F.lit("all").alias("band"), as_steps(F.col("features"), steps, variables).alias("values"))
+    pairs = paired(x, y).join(F.broadcast(own), "b", "left")
+    both = F.coalesce("asked", F.lit(False))
+    half = pairs.where(~both | (F.col("a") <= F.col("b"))).select("a", "b", both.alias("both"), dependent_dtw(F.col("p"), F.col("q")).alias("distance"))
+    mirrored = F.when(F.col("both") & (F.col("a") < F.col("b")), F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).otherwise(F.array(F.struct("a", "b")))
+    return half.select(F.explode(mirrored).alias("x"), "distance").select("x.a", "x.b", "distance")
+
+
 def sequences(series: DataFrame) -> DataFrame:
     """(object_id, band, values): each series' values in order."""
     return series.groupBy("object_id", "band").agg(F.transform(F.array_sort(F.collect_list(F.struct("tus", "ord", "value"))), lambda x: x["value"]).alias("values"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -58,7 +60,7 @@ def gram(bag: DataFrame, labels: DataFrame, n_bands: int) -> DataFrame:
 
 
 def manova_scores(bag: DataFrame, labels: DataFrame, n_bands: int) -> DataFrame:
-    """(param_id, word, score, p_bound): Pillai's trace of each word's bands against the class, 0 where the bands are dependent.
+    """(param_id, word, score): Pillai's trace of each word's bands against the class, 0 where the bands are dependent.
 
     With a numeric class and no intercept it is the uncentred R squared
     y'Y (Y'Y)^-1 Y'y / y'y; the small systems are solved in batches.
@@ -85,8 +87,8 @@ def manova_scores(bag: DataFrame, labels: DataFrame, n_bands: int) -> DataFrame:
 
 
 def select_top(bag: DataFrame, scores: DataFrame, k: int) -> DataFrame:
-    """The bag rows, in all bands, of the ``k`` best words; among equals the later feature wins."""
-    best = scores.orderBy(F.desc("score"), F.desc("param_id"), F.desc("word")).limit(k)
+    """The bag rows, in all bands, of the ``k`` best words; among equals (to nine digits) the later feature wins."""
+    best = scores.orderBy(F.desc(F.round("score", 9)), F.desc("param_id"), F.desc("word")).limit(k)
     return bag.join(F.broadcast(best.select("param_id", "word")), ["param_id", "word"], "left_semi")
 
 
@@ -151,6 +153,42 @@ def _distributed_svd(weights: DataFrame, k: int, doc: str) -> tuple[DataFrame, D
     return project(weights, loadings, doc), loadings
 
 
+def explained_by_top(bag: DataFrame, scores: DataFrame, n_objects: int) -> DataFrame:
+    """(k, explained, cumulative): for the k best words (of equal scores the later first), the share of the total variance that their columns hold in all bands, and the summed scores; both scaled to 0..1.
+
+    The bag has (object_id, param_id, band_idx, word, tf); variances count the
+    implicit zeros.  A word's variance is summed over its bands before words
+    are ordered, so what is ordered is one row for each word.
+    """
+    x = F.col("tf").cast("double")
+    cells = bag.groupBy("param_id", "word", "band_idx").agg(F.sum(x).alias("s"), F.sum(x * x).alias("q"))
+    own = cells.groupBy("param_id", "word").agg(F.sum(F.col("q") / n_objects - (F.col("s") / n_objects) * (F.col("s") / n_objects)).alias("variance"))
+    order = W.partitionBy().orderBy(F.desc(F.round("score", 9)), F.desc("param_id"), F.desc("word"))
+    run = order.rowsBetween(W.unboundedPreceding, 0)
+    every = W.partitionBy()
+    rows = scores.join(own, ["param_id", "word"]).select(F.row_number().over(order).cast("long").alias("k"), F.sum("variance").over(run).alias("e"), F.sum("score").over(run).alias("c"))
+    scaled = lambda x: (F.col(x) - F.min(x).over(every)) / F.nullif(F.max(x).over(every) - F.min(x).over(every), F.lit(0.0))
+    return rows.select("k", scaled("e").alias("explained"), scaled("c").alias("cumulative"))
+
+
+def with_metadata(features: DataFrame, metadata: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``features`` (object_id, ...) with columns of ``metadata`` appended; objects without metadata are left out, columns of the same name are replaced."""
+    kept = features.drop(*columns)
+    return kept.join(metadata.select("object_id", *columns), "object_id")
+
+
+def without_metadata(features: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``features`` without metadata columns; such as are absent are passed over."""
+    return features.drop(*columns)
+
+
+def take_ranked(weights: DataFrame, ranking: DataFrame, n: int) -> DataFrame:
+    """(row, rank, weight): the ``n`` best columns of a row table (row, feature, weight) in the order of ``ranking`` (feature, score), best first; ties by feature."""
+    order = W.partitionBy().orderBy(F.desc("score"), "feature")
+    best = ranking.orderBy(F.desc("score"), "feature").limit(n).withColumn("rank", F.row_number().over(order) - 1)
+    return weights.join(F.broadcast(best.select("feature", "rank")), "feature").select("row", "rank", "weight")
+
+
 def explained(scores: DataFrame) -> DataFrame:
     """(component, variance, cumulative, normalised): variances of components, summed in order, and scaled to 0..1."""
     var = scores.groupBy("component").agg(F.var_pop("score").alias("variance"))

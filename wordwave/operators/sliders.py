@@ -106,20 +106,16 @@ def tumbling_observed(series: DataFrame, micros: int, threshold: int = 2) -> Dat
 def interpolate_gaps(series: DataFrame, micros: int) -> DataFrame:
     """Adds three evenly spaced, linearly interpolated points to every empty tumbling bucket between two observations.
 
-    ``interpolated`` marks them.  The values need the neighbours on both sides
-    of a gap, so a series is handled as one pandas group.
+    ``interpolated`` marks them.  A bucket is empty where a point and the next
+    one lie more than a bucket apart, so both ends are at hand in one row.
     """
-    schema = "object_id string, band string, tus long, value double, interpolated boolean"
-
-    def fill(frames: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        df = frames.sort_values(["tus", "ord"])
-        t, v = df["tus"].to_numpy(), df["value"].to_numpy()
-        bucket = (t - t[0]) // micros
-        extra = [x for k in np.setdiff1d(np.arange(bucket[-1] + 1), bucket) for x in np.linspace(t[0] + k * micros, t[0] + (k + 1) * micros, 3)]
-        known = pd.DataFrame({"object_id": df["object_id"], "band": df["band"], "tus": t, "value": v, "interpolated": False})
-        made = pd.DataFrame({"object_id": df["object_id"].iloc[0], "band": df["band"].iloc[0], "tus": np.array(extra, dtype="int64"), "value": np.interp(np.array(extra, dtype=float), t.astype(float), v), "interpolated": True})
-        return pd.concat([known, made]) if len(made) else known
-
-    return series.select("object_id", "band", "tus", "ord", "value").groupBy("object_id", "band").applyInPandas(fill, schema)
+    own = W.partitionBy("object_id", "band")
+    order = own.orderBy("tus", "ord")
+    zero = F.min("tus").over(own)
+    rows = series.select("object_id", "band", "tus", "value", zero.alias("zero"), F.lead("tus").over(order).alias("t2"), F.lead("value").over(order).alias("v2"))
+    bucket = lambda t: F.floor((F.col(t) - F.col("zero")) / micros)
+    between = rows.where("t2 is not null").withColumns({"b": bucket("tus"), "b2": bucket("t2")}).where("b2 > b + 1")
+    made = between.withColumn("k", F.explode(F.sequence(F.col("b") + 1, F.col("b2") - 1))).withColumn("part", F.explode(F.array(*(F.lit(x) for x in (0.0, 0.5, 1.0)))))
+    at = (F.col("zero") + ((F.col("k") + F.col("part")) * micros).cast("long")).alias("tus")
+    made = made.select("object_id", "band", at, (F.col("value") + (F.col("v2") - F.col("value")) * (at - F.col("tus")) / (F.col("t2") - F.col("tus"))).alias("value"), F.lit(True).alias("interpolated"))
+    return series.select("object_id", "band", "tus", "value", F.lit(False).alias("interpolated")).unionByName(made)

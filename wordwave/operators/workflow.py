@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,6 +37,31 @@ def train_test(metadata: DataFrame, share: float, seed: int = 1) -> DataFrame:
     return metadata.select("object_id", "label", F.when(F.row_number().over(own) <= F.floor(size * share), "train").otherwise("test").alias("part"))
 
 
+def two_stage_split(metadata: DataFrame, n_train: int, n_test: int, seed: int = 1) -> DataFrame:
+    """(object_id, label, part): a stratified draw of about ``n_train + n_test`` objects, split by class into "train" and "test".
+
+    The first stage is passed over where that would take all but a few objects
+    (fewer left than classes).  Shares of a class are floored.
+    """
+    n, classes = metadata.agg(F.count(F.lit(1)), F.countDistinct("label")).first()
+    drawn = metadata
+    if n_train + n_test < n - classes:
+        drawn = metadata.join(train_test(metadata, (n_train + n_test) / n, seed).where("part = 'train'").select("object_id"), "object_id", "left_semi")
+    return train_test(drawn, n_train / (n_train + n_test), seed + 1)
+
+
+def best_increments(results: DataFrame, score: str = "cv_mean") -> DataFrame:
+    """(wl, win, score, top): the best window of every word length (ties: the smaller), and whether no other word length does better."""
+    order = W.partitionBy("wl").orderBy(F.desc(score), "win")
+    best = results.withColumn("r", F.row_number().over(order)).where("r = 1").select("wl", "win", F.col(score).alias("score"))
+    return best.withColumn("top", F.col("score") == F.max("score").over(W.partitionBy()))
+
+
+def time_per_object(records: DataFrame) -> DataFrame:
+    """(objects, points, mean, std): of (points, seconds) of every object, mean and population deviation of the seconds."""
+    return records.agg(F.count(F.lit(1)).alias("objects"), F.sum("points").alias("points"), F.avg("seconds").alias("mean"), F.stddev_pop("seconds").alias("std"))
+
+
 def sample_per_class(metadata: DataFrame, n: int, seed: int = 1, label: str = "label") -> DataFrame:
     """``n`` objects of every class, in hashed order, without replacement."""
     own = W.partitionBy(label).orderBy(uniform("object_id", seed=seed), "object_id")
@@ -69,20 +93,36 @@ def bias_filter(metadata: DataFrame, biased: int = 90, inverse: bool = False, se
     return metadata.where((F.col("label") != biased) | F.col("reference_object_id").isNull() | (uniform("object_id", seed=seed) < chance))
 
 
-def detection_filter(observations: DataFrame, least: int = 2, seed: int = 1) -> DataFrame:
+def erf(x: Column) -> Column:
+    """The error function: its series within 3, the continued fraction of the complement beyond (1e-14 and better)."""
+    y = F.least(F.abs(x), F.lit(7.0))
+    term, total = y, y
+    series = F.aggregate(
+        F.sequence(F.lit(1), F.lit(60)),
+        F.struct(term.alias("term"), total.alias("total")),
+        lambda acc, n: F.struct((acc["term"] * 2 * y * y / (2 * n + 1)).alias("term"), (acc["total"] + acc["term"] * 2 * y * y / (2 * n + 1)).alias("total")),
+        lambda acc: acc["total"] * F.exp(-y * y) * (2 / math.sqrt(math.pi)),
+    )
+    fraction = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), y, lambda acc, n: y + n / (2 * acc))
+    value = F.when(y < 3, series).otherwise(1 - F.exp(-y * y) / math.sqrt(math.pi) / fraction)
+    return F.when(x < 0, -value).otherwise(value)
+
+
+def detection_filter(observations: DataFrame, least: int = 2, seed: int = 1, originals: DataFrame | None = None) -> DataFrame:
     """(object_id, detections, passes): simulated detections against the survey's efficiency curve.
 
     A point is detected when a hashed uniform falls below
-    (erf((|flux| / error - 5.5) / 2) + 1) / 2.  Spark has no erf, so a vectorised
-    function computes it.
+    (erf((|flux| / error - 5.5) / 2) + 1) / 2.  ``least`` is the threshold; with
+    ``originals`` (object_id, least) that of an object is its original's own
+    count, ``least`` where it has none.
     """
-    @F.pandas_udf("double")
-    def efficiency(ratio: pd.Series) -> pd.Series:
-        return ratio.map(lambda x: (math.erf((x - 5.5) / 2) + 1) / 2)
-
-    rows = observations.withColumn("p", efficiency(F.abs("flux") / F.col("flux_error"))).withColumn("hit", uniform("object_id", "ord", seed=seed) < F.col("p"))
+    chance = (erf((F.abs("flux") / F.col("flux_error") - 5.5) / 2) + 1) / 2
+    rows = observations.withColumn("hit", uniform("object_id", "ord", seed=seed) < chance)
     got = rows.groupBy("object_id").agg(F.sum(F.col("hit").cast("long")).alias("detections"))
-    return got.withColumn("passes", F.col("detections") >= least)
+    if originals is None:
+        return got.withColumn("passes", F.col("detections") >= least)
+    own = originals.select("object_id", F.col("least").alias("own_least"))
+    return got.join(own, "object_id", "left").withColumn("passes", F.col("detections") >= F.coalesce("own_least", F.lit(least))).drop("own_least")
 
 
 def profile(series: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import config
 from ..operators import classify, compact, dtw, features, search, sliders, words, workflow
+from ..operators.store import written
 from ..operators.words import Param
 from ..sources import series as source
 from ..sources.series import DAY, table
@@ -422,9 +423,12 @@ def dropped_objects(spark, d):
     return words.dropped_objects(s, words.bag(words.words(s, WL1)))
 
 
-@query(None)
+_TWO_WAY = [Param(LONG, 2, ("min_max",))]
+
+
+@query(f"{sql.two_way_words(LI, _TWO_WAY[0])} SELECT object_id, band, band_idx, param_id, word, tf FROM bag")
 def words_two_way_segmentation(spark, d):
-    return words.bag(words.words(_li(spark, d), [Param(LONG, 2, ("min_max",))], segmentation="two_way"))
+    return words.bag(words.words(_li(spark, d), _TWO_WAY, segmentation="two_way"))
 
 
 # ---------------------------------------------------------------- features
@@ -435,7 +439,7 @@ _BAGF = f"{sql.words(EV, WL1)}, f AS (SELECT object_id, (band_idx * {WL1[0].word
 def _counts(spark, d) -> tuple[DataFrame, int]:
     s = _ev(spark, d)
     bag = words.feature_ids(words.bag(words.words(s, WL1)), WL1, 5).select("object_id", "feature", "tf")
-    return bag, s.select("object_id").distinct().count()
+    return written(bag), s.select("object_id").distinct().count()
 
 
 _IDF = "idf AS (SELECT feature, count(*) AS df, ln((1.0 + (SELECT n_ FROM nobj)) / (1.0 + count(*))) + 1.0 AS idf FROM f GROUP BY 1)"
@@ -500,20 +504,42 @@ def manova_gram(spark, d):
 _DET = "(a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d))"
 
 
-@query(f"""{_PAIR}, g AS (SELECT param_id, word, sum(x0 * x0) AS a, sum(x0 * x1) AS b, sum(x0 * x2) AS c, sum(x1 * x1) AS d, sum(x1 * x2) AS e, sum(x2 * x2) AS f, sum(x0 * y) AS u, sum(x1 * y) AS v, sum(x2 * y) AS w FROM x GROUP BY 1, 2),
+_SC = f"""{_PAIR}, g AS (SELECT param_id, word, sum(x0 * x0) AS a, sum(x0 * x1) AS b, sum(x0 * x2) AS c, sum(x1 * x1) AS d, sum(x1 * x2) AS e, sum(x2 * x2) AS f, sum(x0 * y) AS u, sum(x1 * y) AS v, sum(x2 * y) AS w FROM x GROUP BY 1, 2),
 yy AS (SELECT sum((object_id::BIGINT % 3) * (object_id::BIGINT % 3))::DOUBLE AS yy FROM (SELECT DISTINCT object_id FROM s)),
-sc AS (SELECT param_id, word, CASE WHEN abs({_DET}) > 1e-6 THEN (u * (u * (d * f - e * e) + v * (c * e - b * f) + w * (b * e - c * d)) + v * (u * (c * e - b * f) + v * (a * f - c * c) + w * (b * c - a * e)) + w * (u * (b * e - c * d) + v * (b * c - a * e) + w * (a * d - b * b))) / {_DET} / (SELECT yy FROM yy) ELSE 0 END AS score FROM g)
-SELECT param_id::INT AS param_id, word, {r('score')} AS score FROM sc""")
+sc AS (SELECT param_id, word, CASE WHEN abs({_DET}) > 1e-6 THEN (u * (u * (d * f - e * e) + v * (c * e - b * f) + w * (b * e - c * d)) + v * (u * (c * e - b * f) + v * (a * f - c * c) + w * (b * c - a * e)) + w * (u * (b * e - c * d) + v * (b * c - a * e) + w * (a * d - b * b))) / {_DET} / (SELECT yy FROM yy) ELSE 0 END AS score FROM g)"""
+
+
+@query(f"{_SC} SELECT param_id::INT AS param_id, word, {r('score')} AS score FROM sc")
 def manova_scores(spark, d):
     s = _li(spark, d)
     return rounded(features.manova_scores(words.bag(words.words(s, TWO)), _labels(s), 3), "score")
 
 
-@query(None)
+_TOP = "top AS (SELECT param_id, word FROM sc ORDER BY round(score, 9) DESC, param_id DESC, word DESC LIMIT {})"
+
+
+@query(f"{_SC}, {_TOP.format(5)} SELECT object_id, band, band_idx, param_id, word, tf FROM bag JOIN top USING (param_id, word)")
 def manova_rank_top_k(spark, d):
     s = _li(spark, d)
-    bag = words.bag(words.words(s, TWO))
-    return features.select_top(bag, features.manova_scores(bag, _labels(s), 3), 5)
+    bag = written(words.bag(words.words(s, TWO)))
+    return features.select_top(bag, features.manova_scores(bag, _labels(s), 3), 5).select("object_id", "band", "band_idx", "param_id", "word", "tf")
+
+
+@query(f"""{_SC}, own AS (SELECT param_id, word, sum(v) AS v FROM (SELECT param_id, word, band_idx, sum(tf * tf)::DOUBLE / (SELECT count(DISTINCT object_id) FROM s) - (sum(tf)::DOUBLE / (SELECT count(DISTINCT object_id) FROM s)) ** 2 AS v FROM bag GROUP BY 1, 2, 3) GROUP BY 1, 2),
+run AS (SELECT row_number() OVER w AS k, sum(v) OVER w AS e, sum(score) OVER w AS c FROM sc JOIN own USING (param_id, word) WINDOW w AS (ORDER BY round(score, 9) DESC, param_id DESC, word DESC ROWS UNBOUNDED PRECEDING))
+SELECT k, {r('(e - min(e) OVER ()) / (max(e) OVER () - min(e) OVER ())')} AS explained, {r('(c - min(c) OVER ()) / (max(c) OVER () - min(c) OVER ())')} AS cumulative FROM run""")
+def manova_explained_top(spark, d):
+    s = _li(spark, d)
+    bag = written(words.bag(words.words(s, TWO)))
+    return rounded(features.explained_by_top(bag, features.manova_scores(bag, _labels(s), 3), s.select("object_id").distinct().count()), "explained", "cumulative")
+
+
+@query(f"""{_BAGF}, v AS (SELECT feature, round(sum(tf * tf)::DOUBLE / (SELECT n_ FROM nobj) - (sum(tf)::DOUBLE / (SELECT n_ FROM nobj)) * (sum(tf)::DOUBLE / (SELECT n_ FROM nobj)), 9) AS score FROM f GROUP BY 1),
+best AS (SELECT feature, row_number() OVER (ORDER BY score DESC, feature) - 1 AS rank FROM v ORDER BY score DESC, feature LIMIT 3) SELECT object_id AS row, rank, tf AS weight FROM f JOIN best USING (feature)""")
+def columns_by_rank(spark, d):
+    bag, n = _counts(spark, d)
+    ranking = features.variances(bag, n).select("feature", F.round("variance", 9).alias("score"))
+    return features.take_ranked(bag.select(F.col("object_id").alias("row"), "feature", F.col("tf").alias("weight")), ranking, 3).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"""{_BAGF}, {_LAB}, z AS (SELECT label, count(*) AS size FROM lab GROUP BY 1), t AS (SELECT sum(size) AS n, count(*) AS k FROM z),
@@ -566,28 +592,84 @@ def confusion_matrix_norm(spark, d):
 _EMB = "e AS (SELECT vec_id AS object_id, label, embedding::DOUBLE[] AS f FROM embeddings)"
 
 
-@query(f"""WITH {_EMB}, t AS (SELECT label, f FROM e WHERE object_id % 10 = 1), q AS (SELECT object_id, f FROM e WHERE object_id % 50 = 0)
-SELECT object_id, t.label AS pred FROM q, t QUALIFY row_number() OVER (PARTITION BY object_id ORDER BY round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (q.f[i] - t.f[i]) * (q.f[i] - t.f[i])))), 9), t.label) = 1""")
-def knn_predict(spark, d):
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("object_id"), "label", F.col("embedding").cast("array<double>").alias("features"))
-    return classify.k_nearest(e.where("object_id % 50 = 0").select("object_id", "features"), e.where("object_id % 10 = 1").select("label", "features"))
+_EUCLID = "round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (q.f[i] - t.f[i]) * (q.f[i] - t.f[i])))), 9)"
+
+
+def _embeddings(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("object_id"), "label", F.col("embedding").cast("array<double>").alias("features"))
 
 
 @query(f"""WITH {_EMB}, q AS (SELECT object_id, f FROM e WHERE object_id % 50 = 0)
-SELECT q.object_id, t.label AS pred FROM q JOIN e t ON t.object_id <> q.object_id QUALIFY row_number() OVER (PARTITION BY q.object_id ORDER BY round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (q.f[i] - t.f[i]) * (q.f[i] - t.f[i])))), 9), t.label) = 1""")
-def knn_predict_all(spark, d):
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("object_id"), "label", F.col("embedding").cast("array<double>").alias("features"))
+SELECT q.object_id, t.label AS pred FROM q JOIN e t ON t.object_id <> q.object_id QUALIFY row_number() OVER (PARTITION BY q.object_id ORDER BY {_EUCLID}, t.label) = 1""")
+def knn_predict(spark, d):
+    e = _embeddings(spark, d)
     return classify.k_nearest_others(e.where("object_id % 50 = 0").select("object_id", "features"), e)
 
 
+@query(f"""WITH {_EMB}, q AS (SELECT object_id, f FROM e WHERE object_id % 50 = 0),
+near AS (SELECT q.object_id, t.label, {_EUCLID} AS d FROM q JOIN e t ON t.object_id <> q.object_id QUALIFY row_number() OVER (PARTITION BY q.object_id ORDER BY {_EUCLID}, t.label) <= 5)
+SELECT object_id, label AS pred FROM (SELECT object_id, label, count(*) AS votes, min(d) AS d FROM near GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY object_id ORDER BY votes DESC, d, label) = 1""")
+def knn_majority(spark, d):
+    e = _embeddings(spark, d)
+    return classify.k_nearest_others(e.where("object_id % 50 = 0").select("object_id", "features"), e, 5)
+
+
+def _split_embeddings(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    e = _embeddings(spark, d)
+    wide = e.select("object_id", *(F.get("features", F.lit(i)).alias(f"fea{i + 1}") for i in range(64)))
+    return wide.where("object_id % 5 <> 0"), wide.where("object_id % 5 = 0"), e.select("object_id", "label")
+
+
+_HALF = f"{_EMB}, a AS (SELECT * FROM e WHERE object_id % 5 <> 0), b AS (SELECT * FROM e WHERE object_id % 5 = 0)"
+
+
+@query(f"""WITH {_HALF}, m AS (SELECT label, i, avg(v) AS v FROM (SELECT label, unnest(range(1, 65)) AS i, unnest(f) AS v FROM a) GROUP BY 1, 2), t AS (SELECT label, list(v ORDER BY i) AS f FROM m GROUP BY 1)
+SELECT q.object_id, q.label, t.label AS pred FROM b q, t QUALIFY row_number() OVER (PARTITION BY q.object_id ORDER BY {_EUCLID}, t.label) = 1""")
+def knn_wrapper_prototype(spark, d):
+    train, test, labels = _split_embeddings(spark, d)
+    return classify.KnnClassifier().fit(train, labels).predict(test, labels)
+
+
+@query(f"""WITH {_HALF}, u AS (SELECT object_id, label, unnest(range(1, 65)) AS i, unnest(f) / sqrt(list_sum(list_transform(f, lambda x: x * x))) AS v FROM e), m AS (SELECT i, avg(v) AS m, stddev_pop(v) AS s FROM u WHERE object_id % 5 <> 0 GROUP BY 1),
+z AS (SELECT object_id, label, list(CASE WHEN s > 0 THEN (v - m) / s ELSE v - m END ORDER BY i) AS f FROM u JOIN m USING (i) GROUP BY 1, 2)
+SELECT q.object_id, q.label, t.label AS pred FROM z q JOIN z t ON q.object_id % 5 = 0 AND t.object_id % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY q.object_id ORDER BY {_EUCLID.replace(', 9)', ', 7)')}, t.label) = 1""")
+def knn_wrapper_scaled(spark, d):
+    train, test, labels = _split_embeddings(spark, d)
+    return classify.KnnClassifier(prototype=False, normalizer=True, scaler=True).fit(train, labels).predict(test, labels)
+
+
+@query(f"""WITH RECURSIVE {_EMB}, v AS (SELECT object_id, list_transform(range(0, 16), lambda k: f[k * 4 + 1:k * 4 + 4]) AS x FROM e),
+t AS (SELECT a.object_id AS a, b.object_id AS b, a.x AS p, b.x AS q, 0 AS i, list_concat([0.0::DOUBLE], list_transform(b.x, lambda y: 'infinity'::DOUBLE)) AS row FROM v a, v b WHERE a.object_id % 50 = 0
+  UNION ALL SELECT a, b, p, q, i + 1, list_reduce(list_transform(q, lambda y: [list_sum(list_transform(range(1, 5), lambda n: (p[i + 1][n] - y[n]) * (p[i + 1][n] - y[n])))]),
+    lambda acc, c, k: list_append(acc, c[1] + least(acc[len(acc)], row[k], row[k + 1])), ['infinity'::DOUBLE]) FROM t WHERE i < len(p))
+SELECT a, b, {r('sqrt(row[len(row)])')} AS distance FROM t WHERE i = len(p)""")
+def dtw_dependent(spark, d):
+    e = _embeddings(spark, d).select("object_id", "features")
+    return rounded(dtw.dependent_matrix(e.where("object_id % 50 = 0"), e, 16, 4), "distance")
+
+
+@query("SELECT vec_id AS object_id, label, unnest(range(0, 64)) AS time, unnest(embedding) AS value FROM embeddings")
+def arrays_to_series(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("object_id"), "label", F.col("embedding").alias("values"))
+    return source.explode_arrays(e.withColumn("times", F.sequence(F.lit(0).cast("long"), F.size("values").cast("long") - 1)))
+
+
+@query(f"SELECT o.object_id, o.n, {r('o.mean')} AS mean, m.redshift, m.ddf FROM (SELECT object_id, count(*) AS n, avg(value) AS mean FROM ({EV}) GROUP BY 1) o JOIN ({META_SQL}) m ON m.object_id::VARCHAR = o.object_id")
+def metadata_appended(spark, d):
+    f = workflow.profile(_ev(spark, d)).select("object_id", "n", "mean")
+    m = metadata(spark, d).withColumn("object_id", F.col("object_id").cast("string"))
+    return rounded(features.with_metadata(f, m, ["redshift", "ddf"]), "mean")
+
+
 @query(f"SELECT label, {r('sum(count(*)) OVER () / count(*) OVER () / count(*)')} AS weight FROM ({META_SQL}) GROUP BY 1".replace("count(*) OVER ()", "(SELECT count(DISTINCT label) FROM (" + META_SQL + "))").replace("sum(count(*)) OVER ()", "(SELECT count(*) FROM (" + META_SQL + "))"))
 def class_weights_flat(spark, d):
     return rounded(classify.class_weights(metadata(spark, d)), "weight")
 
 
-@query(None)
+@query(f"""WITH m AS ({META_SQL}), x AS (SELECT object_id, ddf, least(floor(10.0 * (ln(least(greatest(redshift + 0.01, 0.1), 3.0)) - ln(0.1::DOUBLE)) / (ln(3.0::DOUBLE) - ln(0.1::DOUBLE)))::BIGINT + 1, 10) AS bin FROM m)
+SELECT object_id, {r('count(*) OVER (PARTITION BY ddf) / greatest(count(*) OVER (PARTITION BY ddf, bin), 100)')} AS weight FROM x""")
 def redshift_weights(spark, d):
-    return classify.redshift_weights(metadata(spark, d).withColumn("redshift", F.col("redshift") + 0.01))
+    return rounded(classify.redshift_weights(metadata(spark, d).withColumn("redshift", F.col("redshift") + 0.01)), "weight")
 
 
 @query(None)
@@ -602,18 +684,18 @@ def gbt_classify(spark, d):
 @query(None)
 def lsa_svd(spark, d):
     bag, n = _counts(spark, d)
-    return features.lsa(features.tfidf(bag, n), 3)[0]
+    return rounded(features.lsa(written(features.tfidf(bag, n)), 3)[0], "score")
 
 
 @query(None)
 def lsa_explained(spark, d):
     bag, n = _counts(spark, d)
-    return features.explained(features.lsa(features.tfidf(bag, n), 3)[0])
+    return rounded(features.explained(features.lsa(written(features.tfidf(bag, n)), 3)[0]), "variance", "cumulative", "normalised")
 
 
 def _compact(spark, d, method: str) -> DataFrame:
     s = _li(spark, d)
-    bag = words.feature_ids(words.bag(words.words(s, TWO)), TWO, 3)
+    bag = written(words.feature_ids(words.bag(words.words(s, TWO)), TWO, 3))
     return compact.CompactModel.fit(bag, _labels(s), method, budget=6, n_bands=3).transform(bag)
 
 
@@ -622,12 +704,24 @@ def compact_lsa(spark, d):
     return _compact(spark, d, "LSA")
 
 
-@query(None)
+@query(f"""{_SC}, {_TOP.format(2)}, best AS (SELECT object_id, {_feature_sql(TWO, 3)} AS feature, tf FROM bag JOIN top USING (param_id, word)),
+idf AS (SELECT feature, ln((1.0 + (SELECT count(DISTINCT object_id) FROM s)) / (1.0 + count(*))) + 1.0 AS idf FROM best GROUP BY 1), w AS (SELECT object_id, feature, (1.0 + ln(tf)) * idf AS w FROM best JOIN idf USING (feature))
+SELECT object_id, feature, {r('w / sqrt(sum(w * w) OVER (PARTITION BY object_id))')} AS weight FROM w""")
 def compact_manova(spark, d):
-    return _compact(spark, d, "MANOVA")
+    return rounded(_compact(spark, d, "MANOVA"), "weight")
 
 
-@query(None)
+_OLDER_POINTS = [round(b, 9) for b in (-0.6744897501960817, 0.0, 0.6744897501960817)]
+
+
+@query(f"""{_P}, x AS (SELECT *, min(tus) OVER ({sql.OWN}) AS t0, max(tus) OVER ({sql.OWN}) AS t1, max(i) OVER ({sql.OWN} ORDER BY tus RANGE BETWEEN CURRENT ROW AND {_W} FOLLOWING) + 1 AS ahead,
+  min(i) OVER ({sql.OWN} ORDER BY tus RANGE BETWEEN {_W} PRECEDING AND CURRENT ROW) AS behind FROM p),
+w AS (SELECT object_id, band, 0 AS dir, i, ahead AS j FROM x WHERE i < n - 1 AND tus + {_W} <= t1 AND ahead - i > 2 UNION ALL SELECT object_id, band, 1, behind, i FROM x WHERE i > 1 AND tus - {_W} >= t0 AND i - behind > 2),
+m AS (SELECT object_id, band, avg(value) AS mu, stddev_pop(value) AS sigma FROM p GROUP BY 1, 2),
+c AS (SELECT w.object_id, w.band, w.dir, CASE WHEN w.dir = 0 THEN w.i ELSE -w.j END AS pos, avg(p.value) AS v FROM w JOIN p ON p.object_id = w.object_id AND p.band = w.band AND p.i >= w.i AND p.i < w.j GROUP BY 1, 2, 3, 4),
+z AS (SELECT c.*, round(CASE WHEN sigma > 0 THEN (v - mu) / sigma ELSE 0 END, 9) AS z FROM c JOIN m USING (object_id, band)),
+u AS (SELECT object_id, band, dir, pos, ({' + '.join(f'({b} <= z)::INT' for b in _OLDER_POINTS)})::BIGINT AS word FROM z)
+SELECT object_id, band, dir, pos, word FROM u QUALIFY word IS DISTINCT FROM lag(word) OVER ({sql.OWN} ORDER BY dir, pos)""")
 def words_older(spark, d):
     return compact.older_words(_ev(spark, d), _W, 1, "mean")
 
@@ -681,7 +775,11 @@ def bias_filter(spark, d):
     return workflow.bias_filter(metadata(spark, d), biased=2).select("object_id", "label")
 
 
-@query(None)
+_ERF_X = "((abs(value) / 40.0 - 5.5) / 2)"
+_ERF = f"(CASE WHEN {_ERF_X} = 0 THEN 0 ELSE sign({_ERF_X}) * 2 / sqrt(pi()) * exp(-{_ERF_X} * {_ERF_X}) * list_sum(list_transform(range(0, 90), lambda n: exp((2 * n + 1) * ln(abs({_ERF_X})) + 2 * n * ln(2.0::DOUBLE) + lgamma(n + 1) - lgamma(2 * n + 2)))) END)"
+
+
+@query(f"""SELECT object_id, sum(({sql.uniform('object_id', 'ord')} < ({_ERF} + 1) / 2)::INT)::BIGINT AS detections, sum(({sql.uniform('object_id', 'ord')} < ({_ERF} + 1) / 2)::INT) >= 2 AS passes FROM ({EV}) GROUP BY 1""")
 def erf_detection(spark, d):
     o = _ev(spark, d).withColumnRenamed("value", "flux").withColumn("flux_error", F.lit(40.0))
     return workflow.detection_filter(o)
@@ -727,11 +825,70 @@ def search_complexity(spark, d):
     return _results(spark, d).groupBy("quantity", "wl").agg(F.count(F.lit(1)).alias("n")).select("quantity", "wl", F.pow(F.lit(4.0), x).alias("features"), "n")
 
 
-@query(None)
+@query(f"WITH {_RES}, b AS (SELECT * FROM res QUALIFY row_number() OVER (PARTITION BY wl ORDER BY cv_mean DESC, win) = 1) SELECT wl, win, {r('cv_mean')} AS score, cv_mean = max(cv_mean) OVER () AS top FROM b")
+def increments_per_word_length(spark, d):
+    results = _results(spark, d).groupBy("wl", "win").agg(F.max("cv_mean").alias("cv_mean"))
+    return rounded(workflow.best_increments(results), "score")
+
+
+_N1, _N2 = 60, 30
+
+
+@query(f"""WITH {_M}, d AS (SELECT object_id, label FROM m QUALIFY row_number() OVER (PARTITION BY label ORDER BY {sql.uniform('object_id')}, object_id) <= floor(count(*) OVER (PARTITION BY label) * ({_N1 + _N2} / (SELECT count(*) FROM m)::DOUBLE)))
+SELECT object_id, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY {sql.uniform('object_id', seed=2)}, object_id) <= floor(count(*) OVER (PARTITION BY label) * {_N1 / (_N1 + _N2)!r}::DOUBLE) THEN 'train' ELSE 'test' END AS part FROM d""")
+def two_stage_split(spark, d):
+    return workflow.two_stage_split(metadata(spark, d), _N1, _N2)
+
+
+_SINGLES = ("mean", "trend", "var", "min_max", "min", "max")
+
+
+def _folds(s: DataFrame, k: int = 5) -> DataFrame:
+    return workflow.stratified_folds(_labels(s).withColumn("reference_object_id", F.lit(None).cast("string")), k)
+
+
+_GRID = search.grid([(q,) for q in _SINGLES], [5.0, SHORT], [1, 2])
+_SIDE = search.grid([("min_max",), ("max", "count")], [5.0, SHORT], [1, 2])
+_PLACES = list(dict.fromkeys((p.days, p.word_length) for p in _SIDE))
+_CODES_SQL = ", ".join(f"({i}, '{config.code_of([list(p.quantities)])}', {p.days}::DOUBLE, {p.word_length})" for i, p in enumerate(_GRID))
+_PLACES_SQL = ", ".join(f"({i}, {w}::DOUBLE, {wl})" for i, (w, wl) in enumerate(_PLACES))
+_PLACE_OF = "CASE param_id " + " ".join(f"WHEN {i} THEN {_PLACES.index((p.days, p.word_length))}" for i, p in enumerate(_SIDE)) + " END"
+
+
+@query(f"""{sql.cross_validated(sql.words(EV, _GRID), 'param_id', 5)} SELECT g.id AS param_id, quantity, win, wl, 4 AS alpha, dropped, dropped <= 0.05 * n AS valid_cv, {r('cv_mean')} AS cv_mean, {r('cv_std')} AS cv_std
+FROM (VALUES {_CODES_SQL}) g(id, quantity, win, wl) JOIN cvm ON cvm.place = g.id""")
 def search_grid_cv(spark, d):
     s = _ev(spark, d)
-    labels = _labels(s).withColumn("reference_object_id", F.lit(None).cast("string"))
-    return search.grid_search(s, workflow.stratified_folds(labels, 3), search.grid([("min_max",), ("count",)], [SHORT], [1]), 5, k=3)
+    return rounded(search.grid_search(s, _folds(s), _GRID, 5), "cv_mean", "cv_std")
+
+
+@query(f"""{sql.cross_validated(sql.words(EV, _SIDE), _PLACE_OF, 5)} SELECT win, wl, dropped, dropped <= 0.05 * n AS valid_cv, {r('cv_mean')} AS cv_mean, {r('cv_std')} AS cv_std FROM (VALUES {_PLACES_SQL}) g(id, win, wl) JOIN cvm ON cvm.place = g.id""")
+def search_resolutions(spark, d):
+    s = _ev(spark, d)
+    return rounded(search.resolution_scores(s, _folds(s), [("min_max",), ("max", "count")], [5.0, SHORT], [1, 2], 5), "cv_mean", "cv_std")
+
+
+@query(None)
+def search_stack(spark, d):
+    s = _ev(spark, d)
+    found = search.stack_search(s, _folds(s), search.grid([("min_max",)], [5.0, SHORT, 15.0], [1]), 5, top_k=1)
+    return spark.createDataFrame([(" ".join(f"{p.days}:{p.word_length}" for p in stack), round(score, 6)) for stack, score in found], "stack string, cv_mean double")
+
+
+def _cv(spark, d, method: str) -> DataFrame:
+    s = _li(spark, d)
+    bag = words.feature_ids(words.bag(words.words(s, TWO)), TWO, 3)
+    return rounded(search.cv_pipeline(bag, _folds(s, 3), 3, method, budget=6, n_bands=3), "balanced_accuracy")
+
+
+@query(None)
+def cv_pipeline_lsa(spark, d):
+    return _cv(spark, d, "LSA")
+
+
+@query(None)
+def cv_pipeline_manova(spark, d):
+    return _cv(spark, d, "MANOVA")
 
 
 # ---------------------------------------------------------------- time aggregation, warping
@@ -752,21 +909,34 @@ def tumbling_obs_agg(spark, d):
     return rounded(sliders.tumbling_observed(_ev(spark, d), 3 * DAY), "mean", "slope")
 
 
-@query(None)
+_GAP = 5 * DAY
+
+
+@query(f"""WITH s AS ({EV}), x AS (SELECT *, min(tus) OVER ({sql.OWN}) AS zero, lead(tus) OVER ({sql.OWN} ORDER BY tus, ord) AS t2, lead(value) OVER ({sql.OWN} ORDER BY tus, ord) AS v2 FROM s),
+g AS (SELECT *, unnest(range((tus - zero) // {_GAP} + 1, (t2 - zero) // {_GAP})) AS k FROM x WHERE t2 IS NOT NULL), h AS (SELECT *, zero + ((k + part) * {_GAP})::BIGINT AS made FROM g, (VALUES (0.0::DOUBLE), (0.5::DOUBLE), (1.0::DOUBLE)) y(part))
+SELECT object_id, band, tus, {r('value')} AS value, false AS interpolated FROM s UNION ALL SELECT object_id, band, made, {r('value + (v2 - value) * (made - tus) / (t2 - tus)')}, true FROM h""")
 def interpolated_gaps(spark, d):
-    return sliders.interpolate_gaps(_ev(spark, d), 5 * DAY)
+    return rounded(sliders.interpolate_gaps(_ev(spark, d), _GAP), "value")
 
 
-@query(None)
+@query(f"""WITH RECURSIVE s AS ({EV}), v AS (SELECT object_id, band, list(value ORDER BY tus, ord) AS x FROM s GROUP BY 1, 2),
+{sql.warped("SELECT a.object_id AS a, b.object_id AS b, a.band, list_transform(a.x, lambda z: [z]) AS p, list_transform(b.x, lambda z: [z]) AS q FROM v a JOIN v b ON a.band = b.band WHERE a.object_id::BIGINT % 50 = 0", 1)}
+SELECT a, b, {r('sum(distance)')} AS distance FROM warped GROUP BY 1, 2""")
 def dtw_distance(spark, d):
     s = dtw.sequences(_ev(spark, d))
-    return dtw.distance_matrix(s.where("cast(object_id as long) % 50 = 0"), s)
+    return rounded(dtw.distance_matrix(s.where("cast(object_id as long) % 50 = 0"), s), "distance")
 
 
-@query(None)
+@query(f"""WITH RECURSIVE s AS ({EV}), y AS (SELECT *, tus - min(tus) OVER ({sql.OWN}) AS rel FROM s),
+l AS (SELECT object_id, band, max(rel) AS last FROM y GROUP BY 1, 2),
+g AS (SELECT object_id, band, rel // {3 * DAY} AS bucket, avg(value) AS mean, coalesce(CASE WHEN max(rel) > min(rel) THEN regr_slope(value, rel / 86400000000.0) ELSE 0 END, 0) AS slope FROM y GROUP BY 1, 2, 3),
+v AS (SELECT object_id, band, list([slope, mean] ORDER BY bucket) AS x FROM g JOIN l USING (object_id, band) WHERE bucket <= (last - 1) // {3 * DAY} AND last > 0 GROUP BY 1, 2),
+{sql.warped("SELECT a.object_id AS a, b.object_id AS b, a.band, a.x AS p, b.x AS q FROM v a JOIN v b ON a.band = b.band WHERE a.object_id::BIGINT % 50 = 0", 2)}
+SELECT a AS object_id, b AS other, band, {r('distance', 4)} AS distance FROM warped""")
 def irregular_dtw(spark, d):
     t = sliders.tumbling_time(_ev(spark, d), 3 * DAY)
     seg = F.when(F.col("n") > 0, F.struct("slope", "mean"))
     a = t.groupBy("object_id", "band").agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", seg.alias("s")))), lambda x: x["s"]).alias("values"))
     pairs = dtw.paired(a.where("cast(object_id as long) % 50 = 0"), a)
-    return pairs.select(F.col("a").alias("object_id"), F.col("b").alias("other"), "band", dtw.segment_dtw(F.col("p"), F.col("q")).alias("distance"))
+    found = pairs.select(F.col("a").alias("object_id"), F.col("b").alias("other"), "band", dtw.segment_dtw(F.col("p"), F.col("q")).alias("distance"))
+    return rounded(found, "distance", digits=4)

@@ -75,16 +75,49 @@ def read_csv(spark: SparkSession, data: str, meta: str, passband: int = 3, detec
 
 
 def read_regular(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """Lines ``label<sep>v1<sep>v2...``: (object_id, label, time = position, value)."""
-    parts = spark.read.text(path).where("length(trim(value)) > 0").select(F.xxhash64("value", F.input_file_name()).alias("object_id"), F.split("value", sep).alias("p"))
+    """Lines ``label<sep>v1<sep>v2...``: (object_id, label, time = position, value); every line is an object, equal ones too.
+
+    Ids come from file, block and the line's place among equal lines there, so
+    reading again gives the same ones.
+    """
+    lines = spark.read.text(path).where("length(trim(value)) > 0").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    again = F.row_number().over(W.partitionBy("file", "block", F.xxhash64("value")).orderBy("value"))
+    parts = lines.withColumn("k", again).select(F.xxhash64("value", "file", "block", "k").alias("object_id"), F.split("value", sep).alias("p"))
     return parts.select("object_id", F.get("p", F.lit(0)).cast("double").cast("int").alias("label"), F.posexplode(F.slice("p", F.lit(2), F.size("p") - 1)).alias("time", "v")).select(
         "object_id", "label", "time", F.col("v").cast("double").alias("value")
     )
 
 
 def explode_arrays(df: DataFrame) -> DataFrame:
-    """(object_id, label, values array, times array) -> long form."""
-    return df.select("object_id", "label", F.explode(F.arrays_zip(F.col("times").alias("t"), F.col("values").alias("v"))).alias("p")).select("object_id", "label", F.col("p.0").alias("time"), F.col("p.1").alias("value"))
+    """(object_id, label, values array, times array) -> long form (object_id, label, time, value); places that only one array has give a null, empty arrays no rows."""
+    pairs = F.arrays_zip(F.col("times").alias("t"), F.col("values").alias("v"))
+    return df.select("object_id", "label", F.explode(F.transform(pairs, lambda p: F.struct(p["t"].alias("time"), p["v"].alias("value")))).alias("p")).select("object_id", "label", "p.time", "p.value")
+
+
+def read_metadata(spark: SparkSession, path: str, survey: int | None = None) -> DataFrame:
+    """The metadata of a dataset that :func:`wordwave.sources.sinks.write_dataset` wrote, without its observations; of one survey (ddf) if asked."""
+    df = spark.read.parquet(f"{path.rstrip('/')}/metadata")
+    return df if survey is None else df.where(F.col("ddf") == survey)
+
+
+def read_bag(spark: SparkSession, path: str, quantities: Sequence[str], widths: Sequence[float] | None = None, word_lengths: Sequence[int] | None = None) -> DataFrame:
+    """The bags of some quantities from a folder of :func:`wordwave.sources.sinks.write_bag`, side by side: features of the k-th quantity follow those before it.
+
+    Only the folders of the asked quantities, widths and word lengths are read.
+    """
+    df = spark.read.parquet(path).where(F.col("quantity").isin(*quantities))
+    df = df if widths is None else df.where(F.col("win").isin(*(float(w) for w in widths)))
+    df = df if word_lengths is None else df.where(F.col("wl").isin(*word_lengths))
+    place = F.array_position(F.array(*(F.lit(q) for q in quantities)), F.col("quantity").cast("string"))
+    sizes = df.groupBy(place.alias("k")).agg((F.max("feature") + 1).alias("size"))
+    offsets = sizes.select("k", F.coalesce(F.sum("size").over(W.partitionBy().orderBy("k").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    return df.join(F.broadcast(offsets), place == F.col("k")).withColumn("feature", F.col("feature") + F.col("offset")).drop("k", "offset")
+
+
+def read_features(spark: SparkSession, path: str, chunk: int | None = None, num_chunks: int = 1) -> DataFrame:
+    """A feature table of :func:`wordwave.sources.sinks.write_features`, whole or one chunk of its objects."""
+    df = spark.read.parquet(path)
+    return df if chunk is None else read_chunk(df, chunk, num_chunks)
 
 
 def read_chunk(df: DataFrame, chunk: int, num_chunks: int, key: str = "object_id") -> DataFrame:

@@ -21,13 +21,32 @@ def free_name(spark: SparkSession, path: str) -> str:
     return f"{head}-{stamp}.{tail}" if dot and "/" not in tail else f"{path}-{stamp}"
 
 
-def write_features(df: DataFrame, path: str, overwrite: bool = True) -> str:
-    """Writes a feature table; without ``overwrite`` a taken name gets a time stamp."""
+def write_features(df: DataFrame, path: str, overwrite: bool = True, records: DataFrame | None = None) -> str:
+    """Writes a feature table; without ``overwrite`` a taken name gets a time stamp.
+
+    ``records`` (points and seconds of each object, say) go to a table of the
+    same name that ends in ``_record_times``.
+    """
     target = path if overwrite else free_name(df.sparkSession, path)
-    df.write.mode("overwrite" if overwrite else "errorifexists").parquet(target)
+    mode = "overwrite" if overwrite else "errorifexists"
+    df.write.mode(mode).parquet(target)
+    if records is not None:
+        records.write.mode(mode).parquet(f"{target}_record_times")
     return target
 
 
+def write_raw_features(df: DataFrame, folder: str, dataset: str, tag: str, records: DataFrame | None = None) -> str:
+    """Writes extracted features under their version and dataset: ``<folder>/raw_<tag>_<dataset>``."""
+    return write_features(df, f"{folder.rstrip('/')}/raw_{tag}_{dataset}", True, records)
+
+
+def write_predictions(df: DataFrame, folder: str, dataset: str, classifier: str | None = None) -> str:
+    """Writes (object_id, class, pred) to :func:`predictions_path`; a second run replaces it."""
+    path = predictions_path(folder, dataset, classifier)
+    df.write.mode("overwrite").parquet(path)
+    return path
+
+
 def write_bag(df: DataFrame, path: str) -> None:
     """A bag table partitioned by its parameters, so that readers prune by quantity, window and word length."""
     df.write.mode("overwrite").partitionBy("quantity", "wl", "win").parquet(path)
