@@ -208,12 +208,13 @@ def worker_state(key, make: Callable):
 
 
 def release_worker_state() -> None:
-    """Gives back what another operator has kept in this worker process."""
+    """Gives back what another operator has kept in this worker process, and freed memory that the allocators hold."""
     if _worker_states:
         _worker_states.clear()
         gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # only where the C library can
-            ctypes.CDLL(None).malloc_trim(0)
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def arrow_map(df: DataFrame, function: Callable, schema: str, keeps_state: bool = False) -> DataFrame:

@@ -27,9 +27,9 @@ from .common import arrow_map, session_for, worker_state
 
 MARK = "▁"
 #: Characters of text that are encoded at a time; a larger part shares more prefixes.
-SLICE_CHARS = 1 << 21
+SLICE_CHARS = 1 << 20
 #: Distinct words whose pieces a worker keeps between batches.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 400_000
 _UNITS = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 
 
@@ -86,7 +86,7 @@ class Model:
         if any(MARK in p.lstrip(MARK) or ("\n" in p and p != "\n") for p in self.vocabulary):
             raise ValueError("a piece crosses words")
         self.surface = [bytes([int(p[3:5], 16)]) if k == 6 else p.replace(MARK, " ").encode() if k == 1 else b" \xe2\x81\x87 " if k == 2 else b"" for p, k in zip(self.pieces, self.kinds, strict=True)]
-        self._accepts: dict[tuple[int, int], bool] = {}
+        self._accepts: dict[int, bool] = {}  # by a << 20 | b
         self._halves()
         # lengths of the pieces that end in given (up to three) characters, longest first: where a last piece can begin
         made = [p for p, i in self.vocabulary.items() if not self.bpe or len(p) == 1 or self.halves[i] is not None]
@@ -149,11 +149,11 @@ class Model:
         """
         if a < 0 or b < 0:
             return True
-        known = self._accepts.get((a, b))
+        known = self._accepts.get(a << 20 | b)
         if known is None:
-            if len(self._accepts) > 2_000_000:
+            if len(self._accepts) > 400_000:
                 self._accepts.clear()
-            known = self._accepts[a, b] = self._borders(a, b)
+            known = self._accepts[a << 20 | b] = self._borders(a, b)
         return known
 
     def _borders(self, a: int, b: int) -> bool:
@@ -207,7 +207,7 @@ class Model:
                         if before is None or before < 0:
                             pick, start = piece, j
                             break
-                        ok = memo.get((before, piece))
+                        ok = memo.get(before << 20 | piece)
                         if ok or ok is None and accepts(before, piece):
                             pick, start = piece, j
                             break
