@@ -35,56 +35,46 @@ def fit_logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, shap
     return w, float(b)
 
 
-def label_model(votes: np.ndarray, polarity: np.ndarray, prior: float, start: float | np.ndarray = 0.85, strength: float = 8.0, rounds: int = 50, alike: float = 0.6, balance: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, polarity: np.ndarray, prior: float, start: float = 0.85, strength: float = 8.0, rounds: int = 100, alike: float = 0.6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of the hidden label from voters that vote or abstain, by expectation-maximisation.
 
     ``votes`` is a boolean matrix rows x voters, ``polarity`` 1 for a voter that
-    votes for the label and 0 for one against it.  A voter is right with a rate
-    that is estimated from the posteriors of the rows where it votes
-    (``start``, one for all or one each, with the weight of ``strength`` rows comes first); abstaining
-    says nothing.  With ``balance`` the posteriors are shifted to the mean ``prior``,
-    for a share that is known.  Voters that agree beyond what the labels explain (residual
-    correlation of ``alike`` or more) share their say: log odds are divided by
-    one plus the summed excess correlations.  Returns posteriors, accuracies
-    and shares.  No rows give empty posteriors; a row without votes gets
-    ``prior``.
+    votes for the label and 0 for one against it.  A voter has two rates, at
+    which it votes where the label holds and where it does not; they begin as
+    those of a voter that is right at a rate of ``start``, which keeps the weight
+    of ``strength`` rows, and follow the posteriors, as the label's share does from
+    ``prior`` on.  Voters that vote together beyond what the labels explain
+    (residual correlation of ``alike`` or more) divide their say by one plus the
+    summed correlations.  Returns posteriors, accuracies (how often a vote is
+    right) and shares of say.  No rows give empty posteriors; a row without
+    votes is judged by that.
     """
     v = votes.astype(np.float64)
-    sign = np.where(polarity == 1, 1.0, -1.0)
-    start = np.clip(np.broadcast_to(np.asarray(start, dtype=float), v.shape[1:]), 0.55, 0.98)
-    accuracy, share = start.copy(), np.ones(v.shape[1])
-    fired = v.sum(axis=0)
-    post = np.full(len(v), prior)
-    base = np.log(prior / (1 - prior))
+    n, m = v.shape
+    fired, say = v.sum(axis=0), np.ones(m)
+    if not n:
+        return np.zeros(0), np.full(m, start), say
+    right = np.where(polarity == 1, start, 1 - start)
+    rate = (fired + 1) / (n + 2)
+    first = [np.clip(rate * p, 1e-4, 0.95) for p in (right / prior, (1 - right) / (1 - prior))]
+    one, zero = first
+    post, share = np.full(n, prior), prior
     for k in range(rounds):
-        logit = base + v @ (share * (sign * np.log(accuracy / (1 - accuracy)) - base))  # accuracies hold the prior
-        new = sigmoid(logit)
-        if balance and len(v):
-            new = _shifted(logit, prior)
-        change = np.abs(new - post).max(initial=0)
-        post = new
-        if k and change < 1e-5:
-            break
-        right = np.where(polarity == 1, post @ v, (1 - post) @ v)
-        accuracy = np.clip((right + start * strength) / (fired + strength), 0.55, 0.98)
-        if k in (0, 5, 15) and len(v):  # correlations that the labels leave unexplained
-            for_one, for_zero = (post @ v + 0.1) / (post.sum() + 0.2), ((1 - post) @ v + 0.1) / ((1 - post).sum() + 0.2)
-            rest = v - post[:, None] * for_one - (1 - post)[:, None] * for_zero
+        new = sigmoid(np.log(share / (1 - share)) + v @ (np.log(one / zero) * say) + (1 - v) @ (np.log((1 - one) / (1 - zero)) * say))
+        change, post = np.abs(new - post).max(), new
+        share = float(np.clip(post.mean(), 0.01, 0.6))
+        one, zero = (np.clip((w @ v + strength * f) / (w.sum() + strength), 1e-4, 0.99) for w, f in ((post, first[0]), (1 - post, first[1])))
+        if k in (0, 5, 15):  # correlations that the labels leave unexplained
+            rest = v - post[:, None] * one - (1 - post)[:, None] * zero
             sd = np.sqrt((rest**2).mean(axis=0)) + 1e-9
-            corr = (rest.T @ rest) / len(v) / np.outer(sd, sd)
+            corr = (rest.T @ rest) / n / np.outer(sd, sd)
             np.fill_diagonal(corr, 0)
             corr[corr < alike] = 0
-            share = 1.0 / (1.0 + corr.sum(axis=0))
-    return post, accuracy, share
-
-
-def _shifted(logit: np.ndarray, mean: float) -> np.ndarray:
-    """Probabilities of logits plus the constant that gives them the mean."""
-    low, high = -60.0, 60.0
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if sigmoid(logit + mid).mean() < mean else (low, mid)
-    return sigmoid(logit + (low + high) / 2)
+            say = 1.0 / (1.0 + corr.sum(axis=0))
+        if change < 1e-6 and k > 15:
+            break
+    accuracy = np.where(polarity == 1, post @ v, (1 - post) @ v) / np.maximum(fired, 1)
+    return post, accuracy, say
 
 
 def calibrate(z: np.ndarray, target: np.ndarray, rounds: int = 60) -> tuple[float, float]:

@@ -70,6 +70,7 @@ def shape_rows(column: pa.Array):
         yield at, to, stats, np.searchsorted(_LEVELS, table, side="left")
 
 
+#: Thresholds are set by hand, wide of the shares that running prose has; how far each labeller is right, and which ones say the same, is estimated.
 #: Labellers: name, 1 for junk and 0 for clean, and the test on the statistics of :func:`shape_rows`.
 LABELLERS = [
     ("symbols", 1, lambda s: s[:, 1] > 0.15),
