@@ -15,12 +15,15 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_map, hashed_words, session_for, shingle_hashes, text_slices, without_ids
+from .common import arrow_map, hashed_words, materialise, session_for, shingle_hashes, text_slices, without_ids
 
 #: Benchmarks up to so many characters are sent to every executor; larger ones are joined by seed.
 BROADCAST_CHARS = 16_000_000
+#: Items that a text is tiled against in one row.
+ITEMS_AT_ONCE = 500
 
 
 def tiles(item: np.ndarray, text: np.ndarray, min_tile: int, seeds: dict[int, list[int]], places: np.ndarray, hashes: np.ndarray) -> list[tuple[int, int, int]]:
@@ -140,7 +143,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_tile: int = 5, thre
 
     Scale: the texts are read once and never shuffled while the benchmark's
     characters, summed first, stay within ``BROADCAST_CHARS``; beyond, seeds of
-    both sides are joined, and only texts that share one are tiled.
+    both sides are joined, and only texts that share a rare one are tiled.
     """
     session_for(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -166,38 +169,68 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_tile: int = 5, thre
     return arrow_map(rows, over, SCHEMA)
 
 
+def _droppable(n_words: np.ndarray, min_tile: int, threshold: float) -> np.ndarray:
+    """How many seed positions of items may go unseen: tiles that cover ``threshold`` hold one more at least.
+
+    Tiles of w words or more that cover m words hold m - (w - 1) * (m // w)
+    positions at least.
+    """
+    width = np.minimum(min_tile, n_words)
+    m = np.maximum(np.ceil(threshold * n_words - 1e-9).astype(np.int64), width)
+    return m - (width - 1) * (m // width) - 1
+
+
 def _by_seed_join(rows: DataFrame, items: DataFrame, min_tile: int, threshold: float) -> DataFrame:
-    """The way for benchmarks of any size: join on seed hashes, then tile each candidate pair."""
-    keyed = rows.withColumn("key", F.xxhash64("doc_id", "text"))
+    """The way for benchmarks of any size: join on seed hashes, then tile every text once against its items.
 
-    def seeds(batch):
-        for at, to, data, offsets in text_slices(batch.column(1)):
-            words, begins = hashed_words(data, offsets)
-            for width in range(1, min_tile + 1):  # an item shorter than min_tile has seeds of its own length
-                runs, run_begins = shingle_hashes(words, begins, width)
+    Each item passes over its most frequent seeds, as many positions as cannot
+    make up for its coverage alone; so a seed that a third of all texts hold
+    pairs these only with items that consist of such seeds.  Items of a text
+    are gathered in lists of about ITEMS_AT_ONCE.
+    """
+    keyed = rows.where("text is not null").withColumn("key", F.xxhash64("doc_id", "text"))
+    items = materialise(items.withColumn("item", F.xxhash64("item_id", "text")))
+
+    def seeds(of_items: bool):
+        def over(batch):
+            for at, to, data, offsets in text_slices(batch.column(1)):
+                words, begins = hashed_words(data, offsets)
                 counts = np.diff(begins)
-                owner = np.repeat(np.arange(to - at), np.diff(run_begins))
-                use = counts[owner] >= width
-                if batch.schema.names[0] == "item_id":
-                    use &= np.minimum(counts[owner], min_tile) == width
-                pair = np.unique(np.stack([owner[use], runs[use].view(np.int64)], axis=1), axis=0)
-                yield {"owner": batch.column(0).take(pa.array(at + pair[:, 0])), "seed": pair[:, 1]}
-
-    of_items = arrow_map(items, seeds, "owner long, seed long").select(F.col("owner").alias("item_id"), "seed")
-    of_texts = arrow_map(keyed.where("text is not null").select("key", "text"), seeds, "owner long, seed long").select(F.col("owner").alias("key"), "seed")
-    pairs = of_texts.join(of_items, "seed").select("key", "item_id").distinct()
-    joined = pairs.join(items.withColumnRenamed("text", "item"), "item_id").join(keyed, "key")
+                for width in range(1, min_tile + 1):  # an item shorter than min_tile has seeds of its own length
+                    runs, run_begins = shingle_hashes(words, begins, width)
+                    owner = np.repeat(np.arange(to - at), np.diff(run_begins))
+                    use = counts[owner] >= width
+                    if of_items:
+                        use &= np.minimum(counts[owner], min_tile) == width
+                    pair, places = np.unique(np.stack([owner[use], runs[use].view(np.int64)], axis=1), axis=0, return_counts=True)
+                    spare = _droppable(counts[pair[:, 0]], min_tile, threshold)
+                    yield {"owner": batch.column(0).take(pa.array(at + pair[:, 0])), "seed": pair[:, 1], "places": places, "spare": spare}
+
+        return over
+
+    schema = "owner long, seed long, places long, spare long"
+    of_items = materialise(arrow_map(items.select("item", "text"), seeds(True), schema).distinct())
+    of_texts = arrow_map(keyed.select("key", "text"), seeds(False), schema).select(F.col("owner").alias("key"), "seed")
+    hits = materialise(of_texts.join(of_items.select("seed").distinct(), "seed", "left_semi"))
+    counted = of_items.join(hits.groupBy("seed").agg(F.count(F.lit(1)).alias("texts")), "seed")
+    seen = F.sum("places").over(W.partitionBy("owner").orderBy(F.desc("texts"), "seed"))
+    kept = counted.withColumn("seen", seen).where("seen > spare").select("seed", F.col("owner").alias("item"))
+    pairs = materialise(hits.join(kept, "seed").select("key", "item").distinct())
+    lists = pairs.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / ITEMS_AT_ONCE).alias("lists"))
+    dealt = pairs.join(lists, "key").withColumn("list", F.pmod(F.xxhash64("item"), F.col("lists"))).join(items, "item")
+    gathered = dealt.groupBy("key", "list").agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
+    joined = gathered.select("key", "items").join(keyed, "key").select("doc_id", "text", F.col("items.item_id").alias("ids"), F.col("items.text").alias("texts"))
 
     def over(batch):
-        for doc, item, text, body in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "item_id", "item", "text")), strict=True):
-            table = Items([item], [text], min_tile)
+        for doc, body, ids, texts in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            table = Items(ids, texts, min_tile)
             lengths = {k: len(w) for k, w in table.words.items()}
             for _, _, data, offsets in text_slices(pa.array([body], pa.large_string())):
                 words, begins = hashed_words(data, offsets)
                 found = [(0, k, t) for _, k, t in table.search(words, begins) if t and sum(n for *_, n in t) >= threshold * lengths[k] - 1e-9]
                 yield _result([doc], found, lengths, table.ids)
 
-    return arrow_map(joined.select("doc_id", "item_id", "item", "text"), over, SCHEMA)
+    return arrow_map(joined, over, SCHEMA)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_tile: int = 5, threshold: float = 0.7) -> DataFrame:
