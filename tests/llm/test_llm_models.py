@@ -22,7 +22,7 @@ def test_label_model_finds_accuracies():
     rates = [(0.6, 0.05), (0.5, 0.02), (0.4, 0.2)]
     votes = np.stack([np.where(y, rng.random(4000) < a, rng.random(4000) < b) for a, b in rates] + [rng.random(4000) < np.where(y, 0.05, 0.7)], axis=1)
     votes = np.concatenate([votes, votes[:, :1]], axis=1)  # a copy of a voter
-    post, accuracy, share = linear.label_model(votes, np.array([1, 1, 1, 0, 1]), 0.3, balance=True)
+    post, accuracy, share = linear.label_model(votes, np.array([1, 1, 1, 0, 1]), 0.3)
     assert ((post > 0.5) == y).mean() > 0.88
     assert accuracy[0] > accuracy[2] and share[0] < 0.7 and share[4] < 0.7 and share[1] > 0.9
     assert len(linear.label_model(np.zeros((0, 2), bool), np.array([1, 0]), 0.3)[0]) == 0
@@ -258,6 +258,97 @@ def test_query_columns(spark):
         assert [parts.count(k) for k in ("assign", "access", "hex")] == [r.n_assign, r.n_access, r.n_hex]
 
 
+def mixed(x: int) -> int:
+    """The hash finaliser on plain integers."""
+    m = (1 << 64) - 1
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & m
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & m
+    return x ^ (x >> 31)
+
+
+def toxic_codes(text: str) -> set[int]:
+    """The toxicity features of a text, word by word."""
+    import re
+    from collections import Counter
+
+    m = (1 << 64) - 1
+    found: Counter = Counter()
+    raw = text.encode()
+    folded = bytes(b + 32 if 65 <= b <= 90 or (i and raw[i - 1] == 0xC3 and 0x80 <= b <= 0x9E) else b for i, b in enumerate(raw))
+    for w in re.findall(rb"[A-Za-z\x80-\xff]+", folded):
+        terms = [(mixed((b + 1) * 0x9E3779B97F4A7C15 & m) | 1) * pow(0xD6E8FEB86659FD93, i, 1 << 64) for i, b in enumerate(w)]
+        found[mixed(sum(terms) + 99 & m)] += 1
+        for n in toxicity.STEMS:
+            if len(w) > n:
+                found[mixed(sum(terms[:n]) + n & m)] += 1
+    mask = (1 << toxicity.BITS) - 1
+    total: Counter = Counter()
+    for h, c in found.items():
+        total[h & mask] += c
+    return {2 * f for f in total} | {2 * f + 1 for f, c in total.items() if c >= 2}
+
+
+@needs_data
+def test_toxicity_query_against_brute_force(spark):
+    import zlib
+
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 5
+    model = toxicity.fit(docs.where(remainder != 0), labels.where(remainder != 0).select("doc_id", "toxic"))
+    weights = dict(zip(model["codes"].tolist(), model["weights"].tolist(), strict=True))
+    got = queries.op5_toxicity(spark, SMALL).collect()
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert len(got) == len(texts)
+    for r in got:
+        z = model["bias"] + sum(weights.get(c, 0.0) for c in toxic_codes(texts[r.doc_id]))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9) and r.predicted == int(r.score >= 0.5)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+@needs_data
+def test_quality_query_against_brute_force(spark):
+    import re
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = quality.fit(docs)
+    rows = docs.collect() + docs.limit(1).collect()
+
+    def kind(b):
+        groups = (range(97, 123), range(65, 91), range(48, 58), range(128, 256), b".", b",;:", b"!?", b"*#$%&@^~=_", b"|")
+        return next((i for i, g in enumerate(groups) if b in g), 9)
+
+    got = {r.doc_id: r for r in queries.op7_quality(spark, SMALL).collect()}
+    for d in rows:
+        words = [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", d.text or "")]
+        shapes: dict[int, int] = {}
+        for i, w in enumerate(words):
+            kinds = [kind(b) for b in w]
+            capitals = kinds.count(1) >= 2 and kinds.count(0) == 0
+            shape = ((kinds[0] * 10 + kinds[-1]) * 2 + capitals) * 2 + (i > 0 and words[i - 1] == w)
+            shapes[shape] = shapes.get(shape, 0) + 1
+        z = model["bias"]
+        for shape, n in shapes.items():
+            for level in range(1, 1 + sum(n / len(words) > x for x in (0.0, 0.01, 0.05, 0.2, 0.5))):
+                z += model["weights"][mixed(shape * 8 + level + 1) % quality.BUCKETS]
+        want = 1 - 1 / (1 + np.exp(-z)) if words else 0.0
+        assert got[d.doc_id].quality_score == pytest.approx(want, abs=1e-9) and got[d.doc_id].keep == (got[d.doc_id].quality_score >= 0.5)
+    twice = quality.score(docs.unionByName(docs), model).groupBy("doc_id").agg(F.countDistinct("quality_score").alias("n"), F.count(F.lit(1)).alias("m")).collect()
+    assert all((r.n, r.m) == (1, 2) for r in twice)
+
+
+def test_quality_label_model_against_exact_posteriors():
+    """Where labellers are independent and one-sided, the model's ranking follows the exact posteriors of the joint distribution."""
+    rng = np.random.default_rng(8)
+    y = rng.random(5000) < 0.25
+    rates = np.array([[0.7, 0.02], [0.6, 0.05], [0.5, 0.01], [0.3, 0.03], [0.02, 0.8], [0.05, 0.6]])  # fires if junk, if clean
+    votes = rng.random((5000, 6)) < np.where(y[:, None], rates[:, 0], rates[:, 1])
+    odds = np.log(0.25 / 0.75) + (votes * np.log(rates[:, 0] / rates[:, 1]) + ~votes * np.log((1 - rates[:, 0]) / (1 - rates[:, 1]))).sum(axis=1)
+    post, accuracy, say = linear.label_model(votes, np.array([1, 1, 1, 1, 0, 0]), 0.2, alike=0.5)
+    assert np.abs(post - 1 / (1 + np.exp(-odds))).mean() < 0.02 and (say == 1).all() and abs(post.mean() - y.mean()) < 0.03
+    true = [y[votes[:, j]].mean() if j < 4 else (~y)[votes[:, j]].mean() for j in range(6)]
+    assert np.abs(accuracy - true).max() < 0.03
+
+
 @needs_data
 def test_pipeline_against_its_steps(spark):
     sys.path.insert(0, str(Path(__file__).resolve().parents[2]))

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 import time
@@ -146,6 +147,21 @@ def greedy_tiles(item, text, least):
         covered += n
 
 
+def test_fewest_positions_of_a_cover():
+    """Of every way to cover an item by tiles, none holds fewer seed positions than is assumed."""
+    for n in range(1, 41):
+        width = min(5, n)
+        need = max(math.ceil(0.7 * n - 1e-9), width)
+        # fewest positions of disjoint tiles of at least ``width`` words that cover ``need`` words or more
+        fewest = {0: 0}
+        for covered in range(1, n + 1):
+            ways = [fewest[covered - t] + t - width + 1 for t in range(width, covered + 1) if covered - t in fewest]
+            if ways:
+                fewest[covered] = min(ways)
+        least = min(v for c, v in fewest.items() if c >= need)
+        assert decontaminate._droppable(np.array([n]), 5, 0.7)[0] < least
+
+
 def test_tiles_match_brute_force(spark):
     rng = random.Random(1)
     items = [(k, " ".join(rng.choice("abcdefgh") for _ in range(rng.choice([3, 12, 30])))) for k in range(6)]
@@ -168,11 +184,18 @@ def test_tiles_match_brute_force(spark):
     assert got == want
     import wordwave.llm.decontaminate as module
 
-    before, module.BROADCAST_CHARS = module.BROADCAST_CHARS, 0
+    before, module.BROADCAST_CHARS, module.ITEMS_AT_ONCE = module.BROADCAST_CHARS, 0, 2
     try:
         assert {(r.doc_id, r.item_id, r.matched) for r in module.contamination(docs(spark, rows), bench).collect()} == want
-    finally:
+        # one seed that all texts and items hold, repeated documents, an item of common seeds alone
+        common = "the same five words here "
+        again = [(0, common + rows[0][1]), (0, common + rows[0][1]), (1, common * 8), (2, common + "x y z"), (3, None)]
+        hard = spark.createDataFrame([(0, common + items[0][1], "z"), (1, common.strip(), "z"), (2, common * 2, "z")], "item_id long, text string, doc_id string")
+        many = [tuple(r) for r in module.contamination(docs(spark, again), hard).collect()]
         module.BROADCAST_CHARS = before
+        assert sorted(many) == sorted(tuple(r) for r in module.contamination(docs(spark, again), hard).collect()) and len(many) > 6
+    finally:
+        module.BROADCAST_CHARS, module.ITEMS_AT_ONCE = before, 500
     assert decontaminate.contamination(docs(spark, []), bench).count() == 0
     assert decontaminate.contamination(docs(spark, rows), bench.limit(0)).count() == 0
     assert {r.doc_id for r in decontaminate.drop_contaminated(docs(spark, rows), bench).collect()} == {d for d, _ in rows} - {d for d, *_ in want}

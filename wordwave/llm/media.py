@@ -93,7 +93,10 @@ def walk(data: memoryview, at: int, end: int, path: str = ""):
 
 
 def read_media(media: bytes) -> dict:
-    """Codec, timing and the byte ranges of frames and keyframes of the first track; the payload is not touched."""
+    """Codec, timing and the byte ranges of frames and keyframes of the first track; the payload is not touched.
+
+    Fragmented files (movie fragments) are not read: their frames stand outside of the sample tables.
+    """
     data = memoryview(media)
     tables: dict[str, tuple[int, int]] = {}
     for path, begin, end in walk(data, 0, len(data)):
