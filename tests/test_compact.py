@@ -78,3 +78,29 @@ def test_older_words(spark, quantity):
     got = [r.word for r in compact.older_words(df, 15 * DAY, 1, quantity).orderBy("dir", "pos").collect()]
     assert got == older(t, v, 15, 1, 4, quantity)
     assert compact.older_words(df, 15 * DAY, 2, "min_max", handler="").count() >= 0
+
+
+def test_observed_windows_cross_batches(spark):
+    """The pass over sorted points gives the fold's windows, wherever batches end."""
+    import numpy as np
+
+    from wordwave.operators import sliders
+
+    rng = np.random.default_rng(3)
+    rows = [(f"o{k}", "b", int(t), float(t % 7), i) for k, n in enumerate([1, 2, 3, 40, 200]) for i, t in enumerate(np.sort(rng.integers(0, 500, n)))]
+    df = spark.createDataFrame(rows, "object_id string, band string, tus long, value double, ord long")
+    want = {}
+    for k in {r[0] for r in rows}:
+        t = [r[2] for r in rows if r[0] == k]
+        open_ = t[0]
+        for x in t[:-1]:
+            open_ = x if x > open_ + 20 else open_
+            want[k, open_ - t[0]] = want.get((k, open_ - t[0]), 0) + 1
+    want = {w: n for w, n in want.items() if n >= 2}
+    for size in ("1", "3", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = {(r.object_id, r.start): r.n for r in sliders.tumbling_observed(df, 20).collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == want

@@ -66,6 +66,24 @@ def test_results_of_many_files(spark, tmp_path):
     assert len(got) == 2 and {r.cv_mean for r in got} == {0.5}
 
 
+def test_zipped_pairs(spark, tmp_path):
+    import gzip
+    import zipfile
+
+    data = "object_id,mjd,passband,flux,detected\n7,10.5,3,1.5,1\n7,12.5,3,2.5,0\n7,13,2,9,1\n8,1,3,4,1\n"
+    meta = "object_id,ddf,target\n7,1,42\n8,0,90\n"
+    with zipfile.ZipFile(tmp_path / "d.zip", "w") as z:
+        z.writestr("d.csv", data)
+    with gzip.open(tmp_path / "d.csv.gz", "wt") as f:
+        f.write(data)
+    (tmp_path / "m.csv").write_text(meta)
+    want = [(7, 0.0, 1.5, 42), (7, 2.0, 2.5, 42), (8, 0.0, 4.0, 90)]
+    for name in ("d.zip", "d.csv.gz"):
+        got = series.read_csv(spark, str(tmp_path / name), str(tmp_path / "m.csv"))
+        assert sorted((r.object_id, r.time, r.flux, r.target) for r in got.collect()) == want
+    assert series.read_csv(spark, str(tmp_path / "d.zip"), str(tmp_path / "m.csv"), detected_only=True).count() == 2
+
+
 def test_metadata_columns(spark):
     f = spark.createDataFrame([("a", 1.0, 9.0), ("b", 2.0, 9.0)], "object_id string, fea1 double, z double")
     m = spark.createDataFrame([("a", 0.3, 1), ("c", 0.4, 0)], "object_id string, z double, ddf int")
@@ -244,3 +262,24 @@ def test_boosted_trees_learn_classes(spark):
     model = classify.boosted_trees(df.where("vec_id < 60"), rounds=3)
     got = model.transform(df.where("vec_id >= 60")).select("label", "prediction").collect()
     assert np.mean([r.label == r.prediction for r in got]) > 0.9
+
+
+def test_decomposition_of_many_features(spark, monkeypatch):
+    """The distributed way gives the scores and loadings of the driver's, whatever the features' ids."""
+    rng = np.random.default_rng(6)
+    x = rng.random((20, 7)) * (rng.random((20, 7)) < 0.7)
+    ids = [3, 10**12, 17, 2**40, 5, 999, 12345678901]
+    rows = [(f"o{i}", ids[j], float(x[i, j])) for i in range(20) for j in range(7) if x[i, j]]
+    w = spark.createDataFrame(rows, "object_id string, feature long, weight double")
+    near = features.lsa(w, 3)
+    monkeypatch.setattr(features, "DRIVER_FEATURES", 3)
+    far = features.lsa(w, 3)
+    for a, b in zip(near, far, strict=True):
+        one, two = ({tuple(r)[:2]: r[2] for r in t.collect()} for t in (a, b))
+        assert set(one) == set(two) and all(abs(one[k] - two[k]) < 1e-6 for k in one)
+    s = np.linalg.svd(x, compute_uv=False)[:3]
+    got = {r.component: r.q for r in near[0].groupBy("component").agg(F.sqrt(F.sum(F.col("score") ** 2)).alias("q")).collect()}
+    assert np.allclose([got[c] for c in range(3)], s)
+    explained = features.explained(near[0]).orderBy("component").collect()
+    var = (x @ np.linalg.svd(x)[2][:3].T).var(axis=0)
+    assert np.allclose([r.variance for r in explained], var) and np.allclose([r.cumulative for r in explained], np.cumsum(var))

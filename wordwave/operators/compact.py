@@ -6,10 +6,11 @@ from dataclasses import dataclass
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import features, sliders
-from .words import _moment, _trend, _variance, digitize, single_segments
+from . import features
+from .words import _moment, _trend, _variance, digitize, indexed, reduce_numerosity, single_segments
 
 
 @dataclass
@@ -45,7 +46,7 @@ class CompactModel:
 
     def transform(self, bag: DataFrame) -> DataFrame:
         """(object_id, component, score) for LSA, (object_id, feature, weight) for MANOVA.  Features that the fit left out are ignored."""
-        known = bag.join(F.broadcast(self.idf.select("feature")), "feature", "left_semi").select("object_id", "feature", "tf")
+        known = bag.join(self.idf.select("feature"), "feature", "left_semi").select("object_id", "feature", "tf")
         weights = features.tfidf(known, self.n_objects, self.scheme, idf=self.idf)
         return features.project(weights, self.loadings) if self.loadings is not None else weights
 
@@ -82,24 +83,29 @@ def older_words(series: DataFrame, micros: int, wl: int, quantity: str, alphabet
     """
     tol = 2 * wl if tol is None else tol
     threshold = wl if threshold is None else threshold
-    own = series.groupBy("object_id", "band").agg(F.array_sort(F.collect_list(F.struct("tus", "ord", "value"))).alias("p"))
-    rows = sliders.two_way(series, micros, tol).join(own, ["object_id", "band"])
-    part = F.slice("p", (F.col("i") + 1).cast("int"), (F.col("j") - F.col("i")).cast("int"))
-    every = F.transform("p", lambda x: x["value"])
-    rows = rows.select(
-        "object_id",
-        "band",
-        "dir",
-        F.when(F.col("dir") == 0, F.col("i")).otherwise(-F.col("j")).alias("pos"),
-        F.transform(part, lambda x: x["tus"]).alias("ts"),
-        F.transform(part, lambda x: x["value"]).alias("vs"),
-        every.alias("every"),
-        F.when(F.col("dir") == 0, F.get("p", F.col("i").cast("int"))["tus"]).otherwise(F.get("p", F.col("j").cast("int"))["tus"] - micros).alias("start"),
+    own = W.partitionBy("object_id", "band")
+    point = F.struct("i", "tus", "value")
+    rows = indexed(series).select(
+        "*",
+        F.min("tus").over(own).alias("t0"),
+        F.max("tus").over(own).alias("t1"),
+        *(f("value").over(own).alias(n) for n, f in (("low", F.min), ("high", F.max), ("mu", F.avg), ("sigma", F.stddev_pop))),
+        F.collect_list(point).over(own.orderBy("tus").rangeBetween(0, micros)).alias("ahead"),
+        F.collect_list(point).over(own.orderBy("tus").rangeBetween(-micros, 0)).alias("behind"),
     )
+    # every row brings the slices of its own windows: no series is joined to its windows
+    forward = F.when((F.col("i") < F.col("n") - 1) & (F.col("tus") + micros <= F.col("t1")), F.filter("ahead", lambda p: p["i"] >= F.col("i")))
+    backward = F.when((F.col("i") > 1) & (F.col("tus") - micros >= F.col("t0")), F.filter("behind", lambda p: p["i"] < F.col("i")))
+    windows = F.array(
+        F.struct(F.lit(0).alias("dir"), F.col("i").alias("pos"), F.col("tus").alias("start"), forward.alias("p")),
+        F.struct(F.lit(1).alias("dir"), (-F.col("i")).alias("pos"), (F.col("tus") - micros).alias("start"), backward.alias("p")),
+    )
+    rows = rows.select("object_id", "band", "low", "high", "mu", "sigma", F.explode(windows).alias("w")).where(F.size("w.p") > tol)
+    rows = rows.select("object_id", "band", "w.dir", "w.pos", "w.start", F.transform("w.p", lambda x: x["tus"]).alias("ts"), F.transform("w.p", lambda x: x["value"]).alias("vs"), "low", "high", "mu", "sigma")
     rows = rows.withColumn("seg", single_segments(F.col("ts"), F.col("start"), micros, wl) if wl > 1 else F.array(F.struct(F.lit(0).alias("b"), F.size("ts").alias("e"))))
-    whole = F.col("every") if wl == 1 else F.col("vs")
-    n = F.size(whole).cast("double")
-    rows = rows.select("*", F.array_min(whole).alias("low"), F.array_max(whole).alias("high"), (_moment(whole, lambda v: v) / n).alias("mu"), F.sqrt(_variance(whole)).alias("sigma"))
+    if wl > 1:
+        vs, n = F.col("vs"), F.size("vs").cast("double")
+        rows = rows.withColumns({"low": F.array_min(vs), "high": F.array_max(vs), "mu": _moment(vs, lambda v: v) / n, "sigma": F.sqrt(_variance(vs))})
     rows = rows.where(F.size(F.filter("seg", lambda s: s["b"] < 0)) <= wl - threshold)
     points = _older_breaks(quantity, alphabet, normal)
     chars = F.transform("seg", lambda s: _older_character(s, quantity, points, alphabet))
@@ -109,8 +115,6 @@ def older_words(series: DataFrame, micros: int, wl: int, quantity: str, alphabet
     base = float(alphabet + (handler == "#"))
     word = F.aggregate(F.transform("chars", lambda c, k: c.cast("long") * F.pow(F.lit(base), k).cast("long")), F.lit(0).cast("long"), lambda acc, x: acc + x)
     rows = rows.select("object_id", "band", F.lit(0).alias("param_id"), "dir", "pos", word.alias("word"))
-    from .words import reduce_numerosity
-
     return (reduce_numerosity(rows) if num_reduction else rows).drop("param_id")
 
 

@@ -129,7 +129,7 @@ def dependent_matrix(queries: DataFrame, references: DataFrame, steps: int, vari
     own = queries.select(F.col("object_id").alias("b"), F.lit(True).alias("asked"))
     x = queries.select("object_id", F.lit("all").alias("band"), as_steps(F.col("features"), steps, variables).alias("values"))
     y = references.select("object_id", F.lit("all").alias("band"), as_steps(F.col("features"), steps, variables).alias("values"))
-    pairs = paired(x, y).join(F.broadcast(own), "b", "left")
+    pairs = paired(x, y).join(own, "b", "left")
     both = F.coalesce("asked", F.lit(False))
     half = pairs.where(~both | (F.col("a") <= F.col("b"))).select("a", "b", both.alias("both"), dependent_dtw(F.col("p"), F.col("q")).alias("distance"))
     mirrored = F.when(F.col("both") & (F.col("a") < F.col("b")), F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).otherwise(F.array(F.struct("a", "b")))

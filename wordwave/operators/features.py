@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .store import written
+
+#: Features up to which their Gram matrix is decomposed on the driver.
+DRIVER_FEATURES = 4096
+
 
 def idf_table(counts: DataFrame, n_objects: int, doc: str = "object_id", feature: str = "feature") -> DataFrame:
     """(feature, df, idf): smooth inverse document frequency ln((1+N)/(1+df)) + 1."""
@@ -110,13 +115,13 @@ def lsa(weights: DataFrame, k: int, doc: str = "object_id") -> tuple[DataFrame,
     The Gram matrix of the features is aggregated by a self-join on the object
     (sparse rows), decomposed on the driver, and the projection is a join; the
     largest loading of a component is positive.  The driver holds a matrix of
-    features x features, so zero-variance features are dropped first; more than
-    4,096 features go to a distributed SVD instead.
+    features x features up to DRIVER_FEATURES of them; beyond, the Gram matrix
+    stays distributed and only its leading directions are found.
     """
-    features = [r[0] for r in weights.select("feature").distinct().orderBy("feature").limit(4097).collect()]
+    features = [r[0] for r in weights.select("feature").distinct().orderBy("feature").limit(DRIVER_FEATURES + 1).collect()]
     n = len(features)
     k = max(1, min(k, n - 1)) if n > 1 else 1
-    if n > 4096:
+    if n > DRIVER_FEATURES:
         return _distributed_svd(weights, k, doc)
     per = weights.groupBy(doc).agg(F.collect_list(F.struct("feature", "weight")).alias("c"))
     cells = per.select(F.explode("c").alias("a"), "c").select("a", F.explode("c").alias("b")).where("a.feature <= b.feature")
@@ -134,22 +139,24 @@ def lsa(weights: DataFrame, k: int, doc: str = "object_id") -> tuple[DataFrame,
 
 
 def project(weights: DataFrame, loadings: DataFrame, doc: str = "object_id") -> DataFrame:
-    """(doc, component, score) of weights under fitted loadings."""
-    return weights.join(F.broadcast(loadings), "feature").groupBy(doc, "component").agg(F.sum(F.col("weight") * F.col("loading")).alias("score"))
+    """(doc, component, score) of weights under fitted loadings; broadcast where Spark finds them small enough."""
+    return weights.join(loadings, "feature").groupBy(doc, "component").agg(F.sum(F.col("weight") * F.col("loading")).alias("score"))
 
 
 def _distributed_svd(weights: DataFrame, k: int, doc: str) -> tuple[DataFrame, DataFrame]:
+    """As :func:`lsa` for many features: these are numbered without gaps, so the matrix is as wide as there are features, whatever their ids."""
     from pyspark.mllib.linalg import Vectors as OldVectors
     from pyspark.mllib.linalg.distributed import RowMatrix
 
     spark = weights.sparkSession
-    size = int(weights.agg(F.max("feature")).first()[0]) + 1
-    rows = weights.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("feature", "weight"))).alias("c"))
-    matrix = RowMatrix(rows.select("c").rdd.map(lambda r: OldVectors.sparse(size, [(x["feature"], x["weight"]) for x in r["c"]])), numCols=size)
+    places = written(weights.select("feature").distinct().select("feature", (F.row_number().over(W.orderBy("feature")) - 1).alias("place")))
+    size = places.count()
+    rows = weights.join(places, "feature").groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("place", "weight"))).alias("c"))
+    matrix = RowMatrix(rows.select("c").rdd.map(lambda r: OldVectors.sparse(size, [(x["place"], x["weight"]) for x in r["c"]])), numCols=size)
     v = matrix.computeSVD(k).V.toArray()
     v *= np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
-    used = np.flatnonzero(np.abs(v).sum(axis=1))
-    loadings = spark.createDataFrame([(int(i), c, float(v[i, c])) for i in used for c in range(v.shape[1])], "feature long, component int, loading double")
+    table = spark.createDataFrame([(i, c, float(v[i, c])) for i in range(size) for c in range(v.shape[1])], "place int, component int, loading double")
+    loadings = table.join(places, "place").select("feature", "component", "loading")
     return project(weights, loadings, doc), loadings
 
 

@@ -21,12 +21,13 @@ def cv_scores(bag: DataFrame, folds: DataFrame, k: int, scheme: str = "ltc") ->
     class means; the fold's objects are weighted by these and go to the nearest
     mean.  Objects without a word count as zero rows, in training and in test.
     Rows are dealt to the k-1 folds that train on them, so one plan serves
-    every parameter and fold; labels, folds and sizes are the broadcast sides.
+    every parameter and fold; class sizes are the broadcast sides, folds have a
+    row for each object and are joined as Spark finds best.
     """
     tf = F.col("tf").cast("double")
     tf = 1.0 + F.log(tf) if scheme[0] == "l" else tf
     every = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("cv")
-    dealt = bag.join(F.broadcast(folds), "object_id").select("object_id", "param_id", "feature", "label", "fold", tf.alias("w"), every)
+    dealt = bag.join(folds, "object_id").select("object_id", "param_id", "feature", "label", "fold", tf.alias("w"), every)
     members = folds.select("object_id", "label", "fold", every).withColumn("train", F.col("fold") != F.col("cv"))
     sizes = members.where("train").groupBy("cv").agg(F.count(F.lit(1)).alias("n"))
     class_sizes = members.where("train").groupBy("cv", "label").agg(F.count(F.lit(1)).alias("size"))
@@ -128,6 +129,23 @@ def stack_search(series: DataFrame, folds: DataFrame, params: Sequence[Param], n
     return [(tuple(params[i] for i in stack), score) for stack, score in stacks]
 
 
+def first_additions(series: DataFrame, folds: DataFrame, params: Sequence[Param], n_bands: int, k: int = 5, top_k: int = 2) -> DataFrame:
+    """(base, win, wl, cv_mean, rise): every parameter added to each of the ``top_k`` best single ones, the first step of :func:`stack_search` in full."""
+    bag = words.feature_ids(words.bag(words.words(series, params)), params, n_bands).select("object_id", "feature", "tf", "param_id")
+    known = written(bag, by="param_id")
+    scores: dict[tuple[int, ...], float] = {}
+
+    def evaluate(stack: tuple[int, ...]) -> float:
+        if stack not in scores:
+            found = cv_summary(cv_scores(known.where(F.col("param_id").isin(*stack)).withColumn("param_id", F.lit(0)), folds, k)).first()
+            scores[stack] = found["cv_mean"] if found else 0.0
+        return scores[stack]
+
+    workflow.greedy_stack(range(len(params)), evaluate, top_k, 2)
+    rows = [(f"{params[s[0]].days}:{params[s[0]].word_length}", float(params[s[1]].days), params[s[1]].word_length, float(v), float(v - scores[s[:1]])) for s, v in scores.items() if len(s) == 2]
+    return series.sparkSession.createDataFrame(rows, "base string, win double, wl int, cv_mean double, rise double")
+
+
 def subtract_background(series: DataFrame, mode: str = "none") -> DataFrame:
     """Takes the median of each (object, band) from its values; "none" leaves them."""
     if mode == "none":

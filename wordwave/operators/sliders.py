@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -84,21 +84,51 @@ def tumbling_observed(series: DataFrame, micros: int, threshold: int = 2) -> Dat
     The first opens at the first observation; each closes before the first
     point later than start + width, where the next opens.  The series' last
     point belongs to no window; windows with fewer than ``threshold`` points are
-    not reported.  Every window depends on the one before it, so a fold over the
-    sorted points of a series finds the openings.
+    not reported.  Every window depends on the one before it, so the openings
+    are found in one pass over sorted points, which holds a batch at a time and
+    never a whole series.
     """
-    rows = series.groupBy("object_id", "band").agg(F.array_sort(F.collect_list(F.struct("tus", "ord", "value"))).alias("p"))
-    begin = F.get("p", F.lit(0))["tus"]
-    inner = F.slice("p", F.lit(1), F.size("p") - 1)
-    empty = F.array().cast("array<long>")
-    opens = F.aggregate(
-        inner,
-        F.struct(begin.alias("open"), empty.alias("of")),
-        lambda acc, x: F.struct(F.when(x["tus"] > acc["open"] + micros, x["tus"]).otherwise(acc["open"]).alias("open"), F.concat(acc["of"], F.array(F.when(x["tus"] > acc["open"] + micros, x["tus"]).otherwise(acc["open"]))).alias("of")),
-        lambda acc: acc["of"],
-    )
-    points = rows.where(F.size("p") > 1).select("object_id", "band", begin.alias("zero"), F.explode(F.arrays_zip(inner.alias("x"), opens.alias("o"))).alias("z"))
-    points = points.select("object_id", "band", (F.col("z.o") - F.col("zero")).alias("start"), ((F.col("z.x.tus") - F.col("zero")).cast("double") / float(DAY)).alias("days"), F.col("z.x.value").alias("value"))
+    rows = series.select("object_id", "band", "tus", "ord", "value").repartition("object_id", "band").sortWithinPartitions("object_id", "band", "tus", "ord")
+
+    def opened(batches):
+        held = None  # the last row so far, which counts only if its series goes on
+        zero = open_ = 0
+        for batch in batches:
+            frame = batch.to_pandas()
+            goes_on = held is not None
+            if goes_on:
+                frame = pd.concat([held, frame], ignore_index=True)
+            if not len(frame):
+                continue
+            keys = frame[["object_id", "band"]]
+            cuts = [0, *np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())[1:], len(frame)]
+            t, begin = frame["tus"].to_numpy(), np.empty(len(frame), dtype=np.int64)
+            zeros, ends = np.empty(len(frame), dtype=np.int64), np.zeros(len(frame), dtype=bool)
+            for a, b in zip(cuts, cuts[1:]):
+                if a or not goes_on:
+                    zero = open_ = int(t[a])
+                zeros[a:b], ends[b - 1], at = zero, True, a
+                while at < b:
+                    to = int(np.searchsorted(t[at:b], open_ + micros, side="right")) + at
+                    begin[at:to] = open_
+                    at = to
+                    if at < b - (b == len(frame)):
+                        open_ = int(t[at])
+                    elif at < b:  # the held row opens its window when it comes again
+                        break
+            held = frame.iloc[len(frame) - 1 :]
+            keep = np.flatnonzero(~ends)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "object_id": pa.array(frame["object_id"].to_numpy()[keep], pa.string()),
+                    "band": pa.array(frame["band"].to_numpy()[keep], pa.string()),
+                    "start": begin[keep] - zeros[keep],
+                    "days": (t[keep] - zeros[keep]) / float(DAY),
+                    "value": frame["value"].to_numpy()[keep],
+                }
+            )
+
+    points = rows.mapInArrow(opened, "object_id string, band string, start long, days double, value double")
     got = points.groupBy("object_id", "band", "start").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.coalesce(F.regr_slope("value", "days"), F.lit(0.0)).alias("slope"))
     return got.where(F.col("n") >= threshold)
 

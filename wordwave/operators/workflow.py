@@ -50,6 +50,18 @@ def two_stage_split(metadata: DataFrame, n_train: int, n_test: int, seed: int =
     return train_test(drawn, n_train / (n_train + n_test), seed + 1)
 
 
+def generated_sets(metadata: DataFrame, detections: DataFrame, least: int, sizes: Sequence[float], seed: int = 1) -> DataFrame:
+    """(object_id, label, size): nested stratified training sets, one for every share in ``sizes``, of the originals with more than ``least`` detections.
+
+    An object is in every set whose floored share of its class reaches its hashed place.
+    """
+    rows = metadata.join(detections, "object_id", "left").where((F.coalesce("detections", F.lit(0)) > least) & F.col("reference_object_id").isNull())
+    own = W.partitionBy("label").orderBy(uniform("object_id", seed=seed), "object_id")
+    rows = rows.select("object_id", "label", F.row_number().over(own).alias("place"), F.count(F.lit(1)).over(W.partitionBy("label")).alias("n"))
+    every = F.explode(F.array(*(F.lit(float(s)) for s in sizes)))
+    return rows.withColumn("size", every).where(F.col("place") <= F.floor(F.col("n") * F.col("size"))).select("object_id", "label", "size")
+
+
 def best_increments(results: DataFrame, score: str = "cv_mean") -> DataFrame:
     """(wl, win, score, top): the best window of every word length (ties: the smaller), and whether no other word length does better."""
     order = W.partitionBy("wl").orderBy(F.desc(score), "win")

@@ -840,6 +840,12 @@ def two_stage_split(spark, d):
     return workflow.two_stage_split(metadata(spark, d), _N1, _N2)
 
 
+@query(f"""{_MD}, o AS (SELECT object_id, label, row_number() OVER (PARTITION BY label ORDER BY {sql.uniform('object_id')}, object_id) AS place, count(*) OVER (PARTITION BY label) AS n FROM x WHERE detections > 5 AND reference_object_id IS NULL)
+SELECT object_id, label, size FROM o, (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (1.0::DOUBLE)) z(size) WHERE place <= floor(n * size)""")
+def generated_training_sets(spark, d):
+    return workflow.generated_sets(metadata(spark, d), detections(spark, d), 5, [0.25, 0.5, 1.0])
+
+
 _SINGLES = ("mean", "trend", "var", "min_max", "min", "max")
 
 
@@ -875,6 +881,12 @@ def search_stack(spark, d):
     return spark.createDataFrame([(" ".join(f"{p.days}:{p.word_length}" for p in stack), round(score, 6)) for stack, score in found], "stack string, cv_mean double")
 
 
+@query(None)
+def search_first_additions(spark, d):
+    s = _ev(spark, d)
+    return rounded(search.first_additions(s, _folds(s), search.grid([("min_max",)], [5.0, SHORT, 15.0], [1]), 5, top_k=1), "cv_mean", "rise")
+
+
 def _cv(spark, d, method: str) -> DataFrame:
     s = _li(spark, d)
     bag = words.feature_ids(words.bag(words.words(s, TWO)), TWO, 3)

@@ -8,8 +8,12 @@ ties of time.
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Sequence
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -65,13 +69,41 @@ def observations(df: DataFrame, bands: Sequence[str] = BANDS) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, data: str, meta: str, passband: int = 3, detected_only: bool = False) -> DataFrame:
-    """A CSV pair (plain or gz) as one-band series joined with their metadata, times rebased to the first observation."""
-    rows = spark.read.csv(data, header=True, inferSchema=True).where(F.col("passband") == passband)
+    """A CSV pair (plain, gz or zip) as one-band series joined with their metadata, times rebased to the first observation."""
+    rows = _csv(spark, data).where(F.col("passband") == passband)
     if detected_only:
         rows = rows.where("detected = 1")
     first = F.min("mjd").over(W.partitionBy("object_id"))
     rows = rows.withColumn("time", F.col("mjd") - first)
-    return rows.join(spark.read.csv(meta, header=True, inferSchema=True), "object_id")
+    return rows.join(_csv(spark, meta), "object_id")
+
+
+#: Columns of zipped CSV files that are whole numbers; others are doubles.
+WHOLE = ("object_id", "passband", "detected", "ddf", "target", "class")
+
+
+def _csv(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV file with a header.  Members of a zip file are unpacked by the task that reads it, line by line."""
+    if not path.endswith(".zip"):
+        return spark.read.csv(path, header=True, inferSchema=True)
+    files = spark.read.format("binaryFile").load(path).select("content")
+
+    def lines(batches):
+        for batch in batches:
+            for raw in batch.column(0):
+                with zipfile.ZipFile(io.BytesIO(raw.as_py())) as z:
+                    for name in z.namelist():
+                        with z.open(name) as f:
+                            text = io.TextIOWrapper(f, "utf-8")
+                            header = next(text, "").strip()
+                            while part := list(islice(text, 10_000)):
+                                yield pa.RecordBatch.from_pydict({"header": [header] * len(part), "line": [x.rstrip("\r\n") for x in part]})
+
+    rows = files.mapInArrow(lines, "header string, line string").where("line <> ''")
+    first = rows.select("header").first()
+    names = [n.strip() for n in (first["header"] if first else "object_id").split(",")]
+    kinds = ", ".join(f"`{n}` {'long' if n in WHOLE else 'double'}" for n in names)
+    return rows.select(F.from_csv("line", kinds).alias("r")).select("r.*")
 
 
 def read_regular(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
