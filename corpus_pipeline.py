@@ -1,4 +1,12 @@
-"""A corpus pipeline: quality, near duplicates, benchmark passages, personal data, tokens."""
+"""A corpus pipeline: quality, near duplicates, benchmark passages, personal data, tokens.
+
+Null, empty and blank texts are rejected by the first stage.  Rows with a null
+id pass every stage that their text passes.  Of a group of near copies the rows
+with the least id stay, repeated rows of that id too.  Other columns pass
+through unchanged, n_chars follows the text, and columns named as a result of
+the last stage (n_tokens, ids, decoded_ok) are replaced by it.  An empty table
+gives an empty result.
+"""
 
 from __future__ import annotations
 
