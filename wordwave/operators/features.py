@@ -154,7 +154,7 @@ def _distributed_svd(weights: DataFrame, k: int, doc: str) -> tuple[DataFrame, D
     rows = weights.join(places, "feature").groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("place", "weight"))).alias("c"))
     matrix = RowMatrix(rows.select("c").rdd.map(lambda r: OldVectors.sparse(size, [(x["place"], x["weight"]) for x in r["c"]])), numCols=size)
     v = matrix.computeSVD(k).V.toArray()
-    v *= np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
+    v = v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
     table = spark.createDataFrame([(i, c, float(v[i, c])) for i in range(size) for c in range(v.shape[1])], "place int, component int, loading double")
     loadings = table.join(places, "place").select("feature", "component", "loading")
     return project(weights, loadings, doc), loadings
