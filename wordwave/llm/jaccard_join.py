@@ -31,6 +31,8 @@ BROADCAST_ROWS = 2_000_000
 SKETCH_BITS, FINE_BITS, LARGE = 1024, 4096, 2048
 #: Nodes of a signature that are compared by sketches in one block, and bytes of their sets that are verified in one.
 BLOCK_ROWS, BLOCK_BYTES = 1000, 1 << 23
+#: Signatures that a task sorts at a time.
+SIGNATURES_AT_ONCE = 500_000
 #: Pairs that a task remembers, so as not to report them under each of their signatures.
 MET_PAIRS = 50_000
 #: Parts beyond the least number, as a share of it: so many signatures a set may pass over.
@@ -140,14 +142,14 @@ def signatures(runs, sizes, begins, threshold: int) -> tuple[np.ndarray, np.ndar
 
 
 def _signature_rows(width: int, threshold: int):
-    """Rows (place, node, sig): a batch's sharers of a signature go to its first node (their head).
+    """Rows (place, node, sig): sharers of a signature among SIGNATURES_AT_ONCE go to its first node (their head).
 
     Only heads go on under their signature; so a signature that a third of all
-    texts share reaches the shuffle once per batch.
+    texts share reaches the shuffle once for so many.
     """
 
     def over(batch):
-        sigs, nodes = [], []
+        sigs, nodes, held = [], [], 0
         for _, _, runs, sizes, begins, ids in text_sets(batch.column(0), width):
             _, keep = np.unique(ids, return_index=True)
             keep = np.sort(keep)
@@ -156,9 +158,14 @@ def _signature_rows(width: int, threshold: int):
             owner, found = signatures(runs[source], lengths, np.concatenate([[0], np.cumsum(lengths)])[:-1], threshold)
             sigs.append(found.view(np.int64))
             nodes.append(ids[keep][owner])
-        if not sigs:
-            return
-        sig, node = np.concatenate(sigs), np.concatenate(nodes)
+            held += len(found)
+            if held >= SIGNATURES_AT_ONCE:
+                yield from rows(np.concatenate(sigs), np.concatenate(nodes))
+                sigs, nodes, held = [], [], 0
+        if sigs:
+            yield from rows(np.concatenate(sigs), np.concatenate(nodes))
+
+    def rows(sig, node):
         order = np.lexsort((node, sig))
         sig, node = sig[order], node[order]
         new_sig = np.ones(len(sig), dtype=bool)
@@ -174,8 +181,8 @@ def _signature_rows(width: int, threshold: int):
         sig, node = np.concatenate([sig, sig[led]]), np.concatenate([node, node[led]])
         own = np.concatenate([own, np.zeros(int(led.sum()), dtype=bool)])
         place = np.where(own, sig, (mix(node.view(np.uint64) ^ sig.view(np.uint64)) & _SIGNATURE_MASK).view(np.int64))
-        for at in range(0, len(sig), 100_000):
-            to = at + 100_000
+        for at in range(0, len(sig), 50_000):
+            to = at + 50_000
             # a head's row says its signature by its place alone
             yield {"place": place[at:to], "node": node[at:to], "sig": pa.array(sig[at:to], mask=own[at:to])}
 
