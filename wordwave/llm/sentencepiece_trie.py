@@ -240,7 +240,7 @@ def _worker_state(model_bytes: bytes) -> tuple[Model, dict]:
     return worker_state(("sentencepiece", zlib.crc32(model_bytes)), lambda: (Model(model_bytes), {}))
 
 
-def encode_decode(docs: DataFrame, model_bytes: bytes, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def encode_decode(docs: DataFrame, model_bytes: bytes, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), cache_words: int = CACHE_WORDS, slice_chars: int = SLICE_CHARS) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_ok) and the columns ``keep`` of every whole text.
 
     ``decoded_ok`` says that decoding the ids gives the text again (U+2581 in a
@@ -249,8 +249,9 @@ def encode_decode(docs: DataFrame, model_bytes: bytes, id_col: str = "doc_id", t
     are named n_tokens or ids, are ignored unless in ``keep``; of these, the ones
     named as a result are replaced by it; an empty table
     gives an empty result.  One pass without a shuffle; the model file (half a
-    megabyte) is sent to the executors, and a worker's cache of words is
-    bounded.
+    megabyte) is sent to the executors; a worker keeps about ``cache_words``
+    words between slices of ``slice_chars`` characters, which trades memory for
+    time and changes no result.
     """
     session_for(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model_bytes)
@@ -265,13 +266,13 @@ def encode_decode(docs: DataFrame, model_bytes: bytes, id_col: str = "doc_id", t
         at = 0
         while at < len(texts):
             to, size = at, 0
-            while to < len(texts) and (to == at or size < SLICE_CHARS):
+            while to < len(texts) and (to == at or size < slice_chars):
                 size += len(texts[to] or "")
                 to += 1
             cut = [model.units(t or "") for t in texts[at:to]]
             present = set(chain.from_iterable(cut))
             new = present.difference(cache)
-            if len(cache) + len(new) > CACHE_WORDS:  # what this slice needs stays: frequent words are among it
+            if len(cache) + len(new) > cache_words:  # what this slice needs stays: frequent words are among it
                 kept_words = {w: cache[w] for w in present - new}
                 cache.clear()
                 cache.update(kept_words)
