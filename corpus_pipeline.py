@@ -45,7 +45,8 @@ def add_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds n_tokens, ids and decoded_ok to the documents."""
     with open(SENTENCEPIECE_MODEL, "rb") as f:
         model = f.read()
-    return sentencepiece_trie.encode_decode(docs, model, keep=tuple(docs.columns))
+    # the executors still hold what the stages before have left: less cache, a tenth more time
+    return sentencepiece_trie.encode_decode(docs, model, keep=tuple(docs.columns), cache_words=150_000, slice_chars=1 << 20)
 
 
 STAGES = [
