@@ -172,12 +172,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_tile: int = 5, thre
 def _droppable(n_words: np.ndarray, min_tile: int, threshold: float) -> np.ndarray:
     """How many seed positions of items may go unseen: tiles that cover ``threshold`` hold one more at least.
 
-    Tiles of w words or more that cover m words hold m - (w - 1) * (m // w)
-    positions at least.
+    Tiles of w words or more that cover c words hold c - (w - 1) * (c // w)
+    positions at least; the least counts of all c from ``threshold`` on, which
+    recurs after w of them.
     """
     width = np.minimum(min_tile, n_words)
-    m = np.maximum(np.ceil(threshold * n_words - 1e-9).astype(np.int64), width)
-    return m - (width - 1) * (m // width) - 1
+    least = np.maximum(np.ceil(threshold * n_words - 1e-9).astype(np.int64), width)
+    covers = np.minimum(least[:, None] + np.arange(min_tile), n_words[:, None])
+    return (covers - (width[:, None] - 1) * (covers // np.maximum(width, 1)[:, None])).min(axis=1) - 1
 
 
 def _by_seed_join(rows: DataFrame, items: DataFrame, min_tile: int, threshold: float) -> DataFrame:
