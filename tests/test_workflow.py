@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wordwave.functions.config import Config
 from wordwave.operators import classify, dtw, features, search, sliders, workflow
-from wordwave.plans import pipelines
+from wordwave.plans import catalogue, pipelines
 from wordwave.sources import series, sinks
 
 
@@ -120,6 +120,18 @@ def test_dependent_matrix_is_mirrored(spark):
     assert len(got) == 21 and all(v == pytest.approx(plain(rows[a], rows[b])) for (a, b), v in got.items())
 
 
+def test_share_of_a_class_is_exact(spark, tmp_path):
+    """0.7 of 90 is 63, though 90 * 0.7 is 62.99... as a double."""
+    duckdb = pytest.importorskip("duckdb")
+    path = str(tmp_path / "customer.parquet")
+    duckdb.sql(f"copy (select i as c_custkey, (i % 5)::int as c_nationkey, 0.0::double as c_acctbal from range(450) t(i)) to '{path}'")
+    got = catalogue.QUERIES["strat_train_test"](spark, str(tmp_path)).collect()
+    c = duckdb.connect()
+    c.sql(f"create view customer as select * from '{path}'")
+    assert sorted(map(tuple, got)) == sorted(c.sql(catalogue.ORACLE_SQL["strat_train_test"]).fetchall())
+    assert sum(r.part == "train" for r in got) == 5 * 63
+
+
 def test_erf_and_thresholds(spark):
     xs = [-9.0, -3.2, -3.0, -1.0, -1e-9, 0.0, 0.3, 2.9999, 3.0001, 5.0, 8.0]
     got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", workflow.erf(F.col("x")).alias("e")).collect()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -30,8 +31,12 @@ def fold_split(folds: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:
     return folds.where(F.col("fold") != fold), folds.where(F.col("fold") == fold)
 
 
-def train_test(metadata: DataFrame, share: float, seed: int = 1) -> DataFrame:
-    """(object_id, label, part): the first ``share`` of every class, in hashed order, is "train"."""
+def train_test(metadata: DataFrame, share: float | Decimal, seed: int = 1) -> DataFrame:
+    """(object_id, label, part): the first ``share`` of every class, in hashed order, is "train".
+
+    A Decimal is an exact share; that of a float can fall just below a whole
+    number (0.7 of 90 is 62.99...), and floors to one less.
+    """
     own = W.partitionBy("label").orderBy(uniform("object_id", seed=seed), "object_id")
     size = F.count(F.lit(1)).over(W.partitionBy("label"))
     return metadata.select("object_id", "label", F.when(F.row_number().over(own) <= F.floor(size * share), "train").otherwise("test").alias("part"))
