@@ -118,3 +118,39 @@ def test_warping_queries_meet_all_objects(spark, duck):
     got = catalogue.QUERIES["irregular_dtw"](spark, str(DATA)).toPandas()
     every = {int(x.object_id) for x in sliders.tumbling_time(catalogue._ev(spark, str(DATA)), 3 * DAY).select("object_id").distinct().collect()}
     assert set(got.other.astype(int)) == every and (got.distance[got.object_id == got.other] == 0).all()
+
+
+@pytest.mark.parametrize("bounds", [(10_000, 8192, 1 << 21), (2, 7, 9)])
+def test_every_distance_matches_pairs(spark, monkeypatch, bounds):
+    """In blocks, tiles and parts of any size: null and no segments, bands that one side lacks."""
+    for name, value in zip(("BROADCAST_SERIES", "TILE", "SENT"), bounds, strict=True):
+        monkeypatch.setattr(dtw, name, value)
+    rng = random.Random(6)
+    series = {(f"o{i}", b): [None if rng.random() < 0.2 else (rng.uniform(-9, 9), rng.uniform(-9, 9)) for _ in range(rng.randint(0, 7))] for i in range(14) for b in "xyz" if rng.random() < 0.8}
+    series |= {("o0", "own"): [(1.0, 2.0)], ("o13", "other"): [(1.0, 2.0)]}
+    schema = "object_id string, band string, values array<struct<slope: double, mean: double>>"
+    df = spark.createDataFrame([(o, b, v) for (o, b), v in series.items()], schema)
+    asked = ["o0", "o3", "o4", "o7", "o9"]
+    queries, references = df.where(df.object_id.isin(asked)), df.where("object_id <> 'o0'")
+    want = {(o, p, b): dtw.irregular_dtw(v, w) for (o, b), v in series.items() if o in asked for (p, c), w in series.items() if b == c and p != "o0"}
+    got = dtw.every_distance(queries, references).collect()
+    assert len(got) == len(want) and {(r.a, r.b, r.band): r.distance for r in got} == pytest.approx(want)
+    assert {0.0, float("inf")} < set(want.values())
+    rounded = {(r.a, r.b, r.band): r.distance for r in dtw.every_distance(queries, references, digits=2).collect()}
+    assert rounded == {k: round(v, 2) for k, v in want.items()}
+    assert dtw.every_distance(queries.where("false"), references).collect() == []
+
+
+def test_every_distance_of_plain_values(spark):
+    df = spark.createDataFrame([("a", "x", [4.0, 4.0, 7.0, 9.0, 5.0, 2.0]), ("b", "x", [4.0, 7.0, 9.0, 9.0, 4.0, 2.0])], "object_id string, band string, values array<double>")
+    assert sorted(map(tuple, dtw.every_distance(df, df).collect())) == [("a", "a", "x", 0.0), ("a", "b", "x", 1.0), ("b", "a", "x", 1.0), ("b", "b", "x", 0.0)]
+
+
+def test_series_not_pairs_enter_python(spark, duck):
+    """The segments of 810 million pairs at 60 times sf0.1 took too long to hand over: below the warping nothing is joined."""
+    from conftest import DATA
+    from wordwave.plans import catalogue
+
+    plan = catalogue.QUERIES["irregular_dtw"](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan and plan.count("MapInArrow") == 1
+    assert "Join" not in plan[plan.index("MapInArrow") :]
